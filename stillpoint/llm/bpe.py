@@ -23,6 +23,7 @@ from .textio import slices, texts_of
 _L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 #: Texts of these characters need no tables of Unicode: no composition, and one-to-one lower case.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ÿ]*")
+_FAR = np.int32(2**31 - 1)
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
 
@@ -36,7 +37,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one file of kind BPE with word ends."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -59,16 +60,25 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         keys, into = keys[order], into[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))  # the first of equal pairs has the lower rank
-        self._keys, self._into, self._rank = keys[first], into[first], order[first]
+        self._keys, self._into, self._rank = keys[first], into[first], order[first].astype(np.int32)
         self.limit = limit
-        self.ids: dict[str, np.ndarray] = {}
+        #: Known words with their ids as little-endian unsigned 32-bit numbers; special tokens are always known.
+        self.ids: dict[str, bytes] = {}
         self._derived: list[tuple[dict, object]] = []
+        self._reset()
+
+    def _reset(self) -> None:
+        self.ids.clear()
+        self.ids.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
+        for table, of in self._derived:
+            table.clear()
+            table.update((w, of(ids)) for w, ids in self.ids.items())
 
     def derived(self, of) -> dict:
-        """A look-up table word -> of(ids), kept in step with the words that are known, until release()."""
-        table: dict = {s: of(np.array([i], np.int64)) for s, i in self.special.items()}
-        table.update((w, of(ids)) for w, ids in self.ids.items())
-        self._derived.append((table, of))
+        """A look-up table word -> of(list of ids), kept in step with the words that are known, until release()."""
+        unpacked = lambda ids: of(np.frombuffer(ids, "<u4").tolist())
+        table = {w: unpacked(ids) for w, ids in self.ids.items()}
+        self._derived.append((table, unpacked))
         return table
 
     def release(self) -> None:
@@ -91,72 +101,82 @@ class WordBpe:
         of = self._of_letter
         return [bytes(map(of.__getitem__, w)).decode("utf-8") for w, _ in self._library.pre_tokenizer.pre_tokenize_str(norm)]
 
-    def learn(self, words) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, all in one go."""
         if len(self.ids) > self.limit:
-            self.ids.clear()
+            self._reset()
+        new = list(words - self.ids.keys())
+        for k in range(0, len(new), 50_000):
+            part = new[k : k + 50_000]
+            known = dict(zip(part, self.merge(part), strict=True))
+            self.ids.update(known)
             for table, of in self._derived:
-                table.clear()
-                table.update({s: of(np.array([i], np.int64)) for s, i in self.special.items()})
-        new = [w for w in words if w not in self.ids and w not in self.special]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, ids in zip(part, self.merge(part), strict=True):
-                self.ids[w] = ids
-                for table, of in self._derived:
-                    table[w] = of(ids)
-
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by rounds over one flat array of the symbols of all words."""
+                table.update((w, of(ids)) for w, ids in known.items())
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of pairs, by binary search over the sorted pair keys."""
+        keys = left * self._base + right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._rank[at], _FAR), self._into[at]
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, by rounds over one flat array of the symbols of all words.
+
+        A round merges, in every word, all places of the word's pair of lowest rank; then only the pairs beside merged
+        places are looked up again. Words without pairs to merge leave the array.
+        """
         raw = [w.encode("utf-8") for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         if not sizes.sum():
-            return out
+            return [b""] * len(words)
         data = np.frombuffer(b"".join(raw), np.uint8)
         sym = self._inner[data]
         ends = np.cumsum(sizes)[sizes > 0] - 1
         sym[ends] = self._last[data[ends]]
-        word = np.repeat(np.arange(len(words)), sizes)
-        far = np.int64(1 << 40)
-        while True:
-            rank = np.full(len(sym), far)
-            into = np.zeros(len(sym), np.int64)
-            if len(sym) > 1:
-                keys = sym[:-1] * self._base + sym[1:]
-                at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-                hit = (self._keys[at] == keys) & (word[:-1] == word[1:])
-                rank[:-1] = np.where(hit, self._rank[at], far)
-                into[:-1] = self._into[at]
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            low = np.minimum.reduceat(rank, starts)
-            done = low == far
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rank, into = np.full(len(sym), _FAR, np.int32), np.zeros(len(sym), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], into[inner] = self._look(sym[inner], sym[inner + 1])
+        done_words, done_syms = [], []
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             spans = np.diff(np.append(starts, len(sym)))
-            for i in np.flatnonzero(done):
-                out[word[starts[i]]] = sym[starts[i] : starts[i] + spans[i]]
-            if done.all():
-                return out
-            take = (rank == np.repeat(low, spans)) & (rank < far)
-            # of pairs that overlap (as in a a a) every second is merged, from the left
-            pos = np.arange(len(sym))
-            begins = take & ~np.concatenate([[False], take[:-1]])
-            run = np.maximum.accumulate(np.where(begins, pos, -1))
-            take &= (pos - run) % 2 == 0
-            sym = np.where(take, into, sym)
-            keep = ~np.concatenate([[False], take[:-1]]) & ~np.repeat(done, spans)
-            sym, word = sym[keep], word[keep]
+            low = np.minimum.reduceat(rank, starts)
+            over = np.repeat(low == _FAR, spans)
+            done_words.append(word[over])
+            done_syms.append(sym[over])
+            take = (rank == np.repeat(low, spans)) & ~over
+            # of places that overlap (as in a a a) every second is merged, from the left
+            if (take[1:] & take[:-1]).any():
+                pos = np.arange(len(sym))
+                begins = take & ~np.concatenate([[False], take[:-1]])
+                take &= (pos - np.maximum.accumulate(np.where(begins, pos, -1))) % 2 == 0
+            keep = ~np.concatenate([[False], take[:-1]]) & ~over
+            # a merged place takes over what stood between its second half and the next symbol
+            second = np.flatnonzero(take) + 1
+            sym[take], rank[take] = into[take], rank[second]
+            sym, word, rank, into, take = sym[keep], word[keep], rank[keep], into[keep], take[keep]
+            if not len(sym):
+                break
+            anew = np.flatnonzero(take | np.concatenate([take[1:], [False]]))
+            last = np.concatenate([word[1:] != word[:-1], [True]])
+            rank[anew[last[anew]]] = _FAR
+            anew = anew[~last[anew]]
+            rank[anew], into[anew] = self._look(sym[anew], sym[anew + 1])
+        owner = np.concatenate(done_words)
+        flat = np.concatenate(done_syms)[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         lists = [self.words(t) for t in texts]
         self.learn(set().union(*lists))
-        empty = np.zeros(0, np.int64)
-        look = lambda w: np.array([self.special[w]], np.int64) if w in self.special else self.ids[w]
-        return [np.concatenate([look(w) for w in ws]) if ws else empty for ws in lists]
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, ws)), "<u4").astype(np.int64) for ws in lists]
 
     def decode(self, ids) -> str:
         """The file has no decoder: tokens joined by one space, special ones included."""
-        return " ".join(self.names[int(i)] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -197,7 +217,7 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
     def run(batches):
         bpe = word_bpe(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
 
@@ -214,7 +234,7 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         bpe = word_bpe(path)
         count = bpe.derived(len)
-        decimals = bpe.derived(lambda ids: " ".join(map(str, ids.tolist())).encode())
+        decimals = bpe.derived(lambda ids: " ".join(map(str, ids)).encode())
         tokens = bpe.derived(lambda ids: bpe.decode(ids).encode("utf-8"))
         sha = lambda parts: hashlib.sha256(b" ".join(parts)).hexdigest()
         try:

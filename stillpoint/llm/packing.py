@@ -211,25 +211,21 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         bpe = word_bpe(path)
-        table = bpe.derived(lambda ids: ids.astype("<u4").tobytes())
-        try:
-            for b in slices(batches, "text"):
-                lists = [bpe.words(t) for t in texts_of(b)]
-                bpe.learn(set().union(*lists))
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ws in enumerate(lists):
-                    data = b"".join(map(table.__getitem__, ws)) + end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        cut = data[at : at + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                cols = [b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32"])
-        finally:
-            bpe.release()
+        for b in slices(batches, "text"):
+            lists = [bpe.words(t) for t in texts_of(b)]
+            bpe.learn(set().union(*lists))
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, ws in enumerate(lists):
+                data = b"".join(map(bpe.ids.__getitem__, ws)) + end
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    cut = data[at : at + 4 * capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+            cols = [b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
