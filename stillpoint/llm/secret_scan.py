@@ -8,7 +8,6 @@ suppresses what only looks random: UUIDs, plain numbers, words without digits, p
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from dataclasses import dataclass
@@ -140,7 +139,10 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {id_type}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
 
 
-def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+MARK = "[SECRET]"
+
+
+def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """The same rows and columns with every span in ``text_col`` replaced by ``mark``; null text stays null.
 
     Overlapping spans are replaced once.
