@@ -1 +1 @@
-"""functions"""
+"""Column expressions: hashes and vectors, tokens, evidence."""

@@ -1 +1 @@
-"""streaming"""
+"""Streaming twins of the operators whose state is bounded."""
