@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..operators import allocate, merge, promote, propose, qa, segment, survive
 from ..operators.segment import KEY
+from ..scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,18 @@ def extract(samples: DataFrame, features: DataFrame, metrics: DataFrame, evidenc
     sharpness, edge, entropy, dark, bright, stddev, text, proxy_content_score, delta); evidence (key, sample_idx, ocr_text,
     caption). ``delta`` is the change of the content area from the sample before.
 
-    Recordings of fewer than four samples are left out.
+    Recordings of fewer than four samples are left out. Each stage is written to the scratch folder, so that plans
+    stay short and a lost executor costs one stage's tasks.
     """
     at = [key, "sample_idx"]
-    rows = segment.enough_samples(samples, 4, key).join(features.select(*at, "dhash"), at, "left").join(metrics, at, "left")
+    save = Scratch(samples.sparkSession, "extract").save
+    rows = save(segment.enough_samples(samples, 4, key).join(features.select(*at, "dhash"), at, "left").join(metrics, at, "left"), "sampling")
     stages = {"sampling": rows}
     # scenes, their budgets, and clusters within them
     w = Window.partitionBy(key).orderBy("sample_idx")
     cut = rows.withColumn("scene_id", F.sum((F.coalesce("delta", F.lit(0.0)) > config.scene_delta).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     scenes = segment.coalesce_scenes(segment.scene_ranges(cut, key, hash_col="dhash"), config.tiny_scene_seconds, config.scene_boundary, key)
-    scened = segment.samples_in_scenes(rows, scenes, key)
+    scened = save(segment.samples_in_scenes(rows, scenes, key), "scened")
     novelty = allocate.scene_novelty(scened, key)
     half = F.floor(F.sum("n").over(Window.partitionBy(key)) / 2)
     budget = allocate.candidate_budget(F.least(F.lit(config.pass1_clusters), half), F.count("*").over(Window.partitionBy(key)))
@@ -64,42 +67,43 @@ def extract(samples: DataFrame, features: DataFrame, metrics: DataFrame, evidenc
     clusters = propose.cluster_scenes(scened.join(shares, [key, "scene_id"]).join(features.select(*at, "embedding"), at), key)
     scored = segment.dwell_bonus(scened, config.dwell_bits, key).withColumn("candidate_score", segment.representative_score(F.col("sharpness"), F.lit(0.0), F.col("end_of_dwell_bonus")))
     context = segment.window_ids(scored.join(segment.window_seconds(scored, key), key), F.col("window_seconds"), key).join(clusters.select(*at, "clip_cluster"), at, "left")
+    context = save(context, "context")
     members = context.where("clip_cluster is not null").join(features.select(*at, "embedding"), at)
     best = propose.cluster_best(members.select(key, "clip_cluster", "candidate_score", "sample_idx", "sharpness"), key).select(*at, "clip_cluster_size", F.lit("primary").alias("cluster_role"))
     alternates = propose.cluster_alternates(members, key, hash_distance=config.alternate_bits, clip_distance=config.alternate_distance).select(key, F.col("alt_idx").alias("sample_idx"), "clip_cluster_size", F.lit("alt").alias("cluster_role"))
-    proposed = context.join(best.unionByName(alternates), at)
+    proposed = save(context.join(best.unionByName(alternates), at), "proposed")
     stages |= {"proposal.pass1_primary": proposed.where("cluster_role = 'primary'"), "proposal.cluster_alt": proposed.where("cluster_role = 'alt'")}
     # the shortlist, read and judged against what is proposed
     eligible = context.join(proposed.select(*at, F.lit(False).alias("_free")), at, "left").withColumn("eligible", F.coalesce("_free", F.lit(True))).drop("_free")
     lanes = segment.local_peaks(eligible.withColumn("prev_delta", F.coalesce("delta", F.lit(0.0))).withColumn("next_delta", F.coalesce(F.lead("delta").over(w), F.lit(0.0))), "text", key)
-    listed = propose.shortlist(lanes.join(allocate.rescue_limits(eligible, config.pass1_clusters, key=key), key), key)
+    limits = save(allocate.rescue_limits(eligible, config.pass1_clusters, key=key), "limits")
+    listed = propose.shortlist(save(lanes.join(limits, key), "lanes"), key)
     seen = evidence.select(*at, "ocr_text", "caption").withColumn("tokens", tk.clean_tokens(tk.token_set(F.col("ocr_text")))).withColumn("rescue_tokens", tk.rescue_token_set(F.col("ocr_text"))).withColumn("ocr_line_signature", tk.line_signatures(F.col("ocr_text")))
     vectors = features.select(*at, "embedding")
-    known = context.join(seen, at, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    rescue = known.join(listed.select(*at, "proposal_lane"), at).join(vectors, at, "left")
-    main = known.join(proposed.select(*at, "clip_cluster_size", "cluster_role"), at)
-    limits = allocate.rescue_limits(eligible, config.pass1_clusters, key=key).select(key, "rescue_budget")
-    judged = promote.judged(rescue, main.join(vectors, at, "left"), key).where("eligible").withColumn("rescue_priority", F.row_number().over(Window.partitionBy(key).orderBy(*promote.priority()))).join(limits, key)
+    known = save(context.join(seen, at, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "evidence")
+    rescue = save(known.join(listed.select(*at, "proposal_lane"), at), "shortlist").join(vectors, at, "left")
+    main = save(known.join(proposed.select(*at, "clip_cluster_size", "cluster_role"), at), "main")
+    judged = promote.judged(rescue, main.join(vectors, at, "left"), key).where("eligible").withColumn("rescue_priority", F.row_number().over(Window.partitionBy(key).orderBy(*promote.priority()))).join(limits.select(key, "rescue_budget"), key)
     promotion = judged.where(F.col("rescue_priority") <= F.col("rescue_budget")).select(*at, F.col("reason").alias("rescue_reason"), "rescue_priority", "primary_idx")
-    rescued = promote.promoted_rows(rescue.drop("embedding"), promotion, main, key=key)
+    rescued = save(promote.promoted_rows(rescue.drop("embedding"), promotion, main, key=key), "promoted")
     chosen = main.unionByName(rescued.drop("primary_idx"), allowMissingColumns=True)
     stages |= {"proposal.rescue_shortlist": rescue, "selection.promoted_rescue_only": rescued, "selection.after_rescue": chosen}
     # what survives
-    kept = survive.retain_alternates(chosen, key)
+    kept = save(survive.retain_alternates(chosen, key), "retained")
     stages["selection.retained_after_alt"] = kept
     for name, step, params in (("survival.after_near_dedupe", survive.near_time_dedupe, config.near_time), ("survival.after_global_dedupe", survive.global_dedupe, config.global_)):
-        kept = survive.keep_survivors(kept, step(kept, key, **params), key)
+        kept = save(survive.keep_survivors(kept, step(kept, key, **params), key), "survival")
         stages[name] = kept
-    kept = survive.drop_low_information(kept.drop("low_information_filter_reason"), metrics, key)
+    kept = save(survive.drop_low_information(kept, metrics, key), "survival")
     stages["survival.after_low_info_filter"] = kept
-    kept = survive.keep_survivors(kept, survive.adjacent_dedupe(kept, key, **config.adjacent), key)
+    kept = save(survive.keep_survivors(kept, survive.adjacent_dedupe(kept, key, **config.adjacent), key), "survival")
     stages["survival.after_adjacent_dedupe"] = kept
     verdicts = merge.pair_verdicts(kept, key, within=F.abs(F.col("b_ts") - F.col("a_ts")) <= 30.0)
-    parts = merge.merge_components(kept, verdicts, key)
+    parts = save(merge.merge_components(kept, verdicts, key), "components")
     rolled = merge.lineage_rollup(kept.join(parts, at), ("component",), key).select(*at, "merged_from_sample_idxs", "merged_timestamps", "merged_captions", "merged_from", "component")
-    kept = kept.drop("merged_from_sample_idxs").join(rolled, at)
+    kept = save(kept.drop("merged_from_sample_idxs").join(rolled, at), "merged")
     if "content" in metrics.columns:
-        kept = survive.keep_survivors(kept, survive.content_dedupe(kept, key, **config.content), key)
+        kept = save(survive.keep_survivors(kept, survive.content_dedupe(kept, key, **config.content), key), "survival")
     stages["survival.after_content_area_veto"] = kept
     final = survive.output_cap(kept, config.max_output_frames, key)
     stages |= {"survival.final_pre_cap": kept, "survival.final_post_cap": final.where("not capped_out")}

@@ -12,7 +12,7 @@ from ..operators.transcript import FORMATS, transcript_window
 
 def frame_name(frame_idx: Column, ts: Column) -> Column:
     """frame_%06d_%.2fs.png, with the time rounded half to even on its binary value."""
-    return F.concat(F.lit("frame_"), F.lpad(frame_idx.cast("string"), 6, "0"), F.lit("_"), F.format_number(ts, "0.00"), F.lit("s.png"))
+    return F.concat(F.lit("frame_"), F.lpad(frame_idx.cast("string"), 6, "0"), F.lit("_"), F.call_function("format_number", ts, F.lit("0.00")), F.lit("s.png"))
 
 
 def without_empty(df: DataFrame, cols: list[str]) -> Column:
