@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from ..scratch import Scratch
 from .textio import WordHasher, mix, slices, texts_of
 
 _SLOTS = 128
@@ -431,8 +431,9 @@ def join_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     known = rows.where("n > 0 and id is not null")
     repeated = not known.groupBy("id").count().where("count > 1").isEmpty()
     single = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
-    # a class of equal sets is a node, which the row of its least id stands for
-    classes = scratch.save(known.groupBy(*same).agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a class of equal sets is a node, which the row of its least id stands for; ids that repeat can't name their classes
+    node = F.monotonically_increasing_id() if repeated else F.col("id")
+    classes = scratch.save(known.groupBy(*same).agg(F.min("id").alias("id")).withColumn("node", node), "classes")
     chosen = scratch.save(single(records.where("n > 0").join(classes, [*same, "id"])).select("node", "n", "keys", "bits"), "chosen")
     total = chosen.agg(F.sum(F.size("keys"))).first()[0] or 0
     entries = chosen.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n").repartition(max(spark.sparkContext.defaultParallelism, -(-total // 400_000)), "key")
@@ -452,9 +453,11 @@ def join_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         of = known.join(classes.select(*same, "node"), same).select("id", "node").distinct()
         links = links.union(of.join(of.groupBy("id").agg(F.min("node").alias("least")), "id").select(F.col("node").alias("a"), F.col("least").alias("b")))
     label = components(scratch.save(links, "exact"), scratch).withColumnRenamed("id", "node")
-    named = scratch.save(classes.join(label, "node", "left"), "named")
-    least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    named = named.join(least, "label", "left").select(*same, F.coalesce("least", "id").alias("component"))
+    named = classes.join(label, "node", "left").withColumn("least", F.col("label"))
+    if repeated:
+        named = scratch.save(named.drop("least"), "named")
+        named = named.join(named.where("label is not null").groupBy("label").agg(F.min("id").alias("least")), "label", "left")
+    named = named.select(*same, F.coalesce("least", "id").alias("component"))
     out = rows.join(named, same, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
