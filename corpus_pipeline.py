@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillpoint.llm import jaccard_join, packing, quality, secret_scan
-from stillpoint.llm.scratch import Scratch
+from stillpoint.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

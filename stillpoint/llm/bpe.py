@@ -37,9 +37,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one file of kind BPE with word ends."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, limit: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -48,7 +46,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._library = Tokenizer.from_file(path)  # for rare characters: its own normaliser and word splitter
+        self._path, self._library = path, None
         letters = byte_letters()
         self._of_letter = {c: b for b, c in enumerate(letters)}
         self._inner = np.array([vocab[c] for c in letters], np.int64)
@@ -97,6 +95,10 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return _WORD.findall(text.lower())
+        if self._library is None:  # for rare characters: its own normaliser and word splitter
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
         norm = self._library.normalizer.normalize_str(text)
         of = self._of_letter
         return [bytes(map(of.__getitem__, w)).decode("utf-8") for w, _ in self._library.pre_tokenizer.pre_tokenize_str(norm)]

@@ -13,13 +13,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..scratch import Scratch
 from .textio import PLACES, Bounded, mix, slices, texts_of
 
 BUCKETS = 10_000
@@ -139,45 +138,62 @@ def fit(docs: DataFrame, sample: dict, id_col: str = "doc_id", text_col: str = "
     return Resampler(raw[:buckets], target[:buckets], grams)
 
 
-def with_scores(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, keep: bool = True) -> DataFrame:
-    """The rows with ``_log_weight`` and ``_sample_key`` = log weight + Gumbel noise keyed by id and seed (null id: one fixed key).
+def _noise(id_col, seed: int):
+    """Gumbel noise keyed by id and seed; one fixed value for null ids."""
+    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return -F.log(-F.log(unit))
 
-    With ``keep=False`` only the id (as ``_id``) and the two numbers.
-    """
+
+def scores(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """(_id, _log_weight, _sample_key) of every row; the key is the log weight with the noise added."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams))
-    state: dict = {}
-
-    @F.pandas_udf("double")
-    def log_weight(text: pd.Series) -> pd.Series:
-        ratio, grams = shared.value
-        if "make" not in state:
-            state["make"] = Grams(len(ratio), grams)
-        out: list[np.ndarray] = []
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
-        for b in slices([batch], "text"):
-            bucket, owner = state["make"](texts_of(b))
-            out.append(np.bincount(owner, weights=ratio[bucket], minlength=b.num_rows))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    base = docs.select(*([docs[c] for c in dict.fromkeys(docs.columns)] if keep else [docs[id_col].alias("_id")]), log_weight(docs[text_col]).alias("_log_weight"), (-F.log(-F.log(unit))).alias("_noise"))
-    return base.withColumn("_sample_key", F.col("_log_weight") + F.col("_noise")).drop("_noise")
-
-
-def level(scores: DataFrame, sample: dict, missed: float = MISSED, margin: float = MARGIN) -> float:
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches):
+        ratio, size = shared.value
+        make = Grams(len(ratio), size)
+        for b in slices(batches, "text"):
+            bucket, owner = make(texts_of(b))
+            weight = np.bincount(owner, weights=ratio[bucket], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight, pa.float64()), pa.array(weight + b.column(1).to_numpy(zero_copy_only=False), pa.float64())], ["_id", "_log_weight", "_sample_key"])
+
+    rows = docs.select(docs[id_col].alias("_id"), _noise(docs[id_col], seed).alias("_noise"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"_id {id_type}, _log_weight double, _sample_key double")
+
+
+def filtered(docs: DataFrame, model: Resampler, threshold: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, all columns, whose key reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams))
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches):
+        ratio, size = shared.value
+        make = Grams(len(ratio), size)
+        for whole in batches:
+            names = [f"c{i}" if i != at else "text" for i in range(whole.num_columns)]  # names may clash
+            for b in slices([pa.RecordBatch.from_arrays(whole.columns, names)], "text"):
+                bucket, owner = make(texts_of(b))
+                weight = np.bincount(owner, weights=ratio[bucket], minlength=b.num_rows)
+                keep = pa.array(weight + b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) >= threshold)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:-1]], schema.names)
+
+    return docs.select("*", _noise(docs[id_col], seed).alias("_noise")).mapInArrow(run, schema)
+
+
+def level(table: DataFrame, sample: dict, missed: float = MISSED, margin: float = MARGIN) -> float:
     """The log weight that all but ``missed`` of the labelled good texts reach, less ``margin``; -inf without such texts."""
-    spark = scores.sparkSession
+    spark = table.sparkSession
     good = [(i,) for i, y in sample.items() if y == 1]
     if not good:
         return float("-inf")
-    ids = spark.createDataFrame(good, f"_id {scores.schema['_id'].dataType.simpleString()}")
-    row = scores.join(F.broadcast(ids), "_id", "left_semi").select(F.expr(f"percentile(_log_weight, {missed}D)").alias("p")).first()
+    ids = spark.createDataFrame(good, f"_id {table.schema['_id'].dataType.simpleString()}")
+    row = table.join(F.broadcast(ids), "_id", "left_semi").select(F.expr(f"percentile(_log_weight, {missed}D)").alias("p")).first()
     return float("-inf") if row["p"] is None else row["p"] - margin
 
 
-def kth_key(scores: DataFrame, k: int, bins: int = 1024) -> float:
+def kth_key(table: DataFrame, k: int, bins: int = 1024) -> float:
     """The k-th largest ``_sample_key``, by histograms that narrow down; the driver sees ``bins`` counts a round."""
-    lo, hi, n = scores.select(F.min("_sample_key"), F.max("_sample_key"), F.count("_sample_key")).first()
+    lo, hi, n = table.select(F.min("_sample_key"), F.max("_sample_key"), F.count("_sample_key")).first()
     if not n or k >= n:
         return float("-inf")
     if k <= 0:
@@ -188,7 +204,7 @@ def kth_key(scores: DataFrame, k: int, bins: int = 1024) -> float:
         if width <= 0 or lo + width == lo:
             return lo
         at = F.least(F.floor((F.col("_sample_key") - lo) / width), F.lit(bins - 1))
-        inside = scores.where((F.col("_sample_key") >= lo) & (F.col("_sample_key") <= hi))
+        inside = table.where((F.col("_sample_key") >= lo) & (F.col("_sample_key") <= hi))
         found = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("_sample_key").alias("lo"), F.max("_sample_key").alias("hi")).collect()}
         for b in sorted(found, reverse=True):
             if above + found[b][0] >= k:
@@ -211,10 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = labelled_sample(labels, max_labelled)
     model = fit(docs, sample, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "quality")
-    scores = scratch.save(with_scores(docs, model, id_col, text_col, seed, keep=False), "scores")
-    least = level(scores, sample, missed, margin)
-    k = scores.where(F.col("_log_weight") >= least).count()
-    return Quality(model, kth_key(scores, k), least, k), scores, scratch
+    table = scratch.save(scores(docs, model, id_col, text_col, seed), "scores")
+    least = level(table, sample, missed, margin)
+    k = table.where(F.col("_log_weight") >= least).count()
+    return Quality(model, kth_key(table, k), least, k), table, scratch
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -224,16 +240,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     their noise and stay together; other columns are not read. An empty table gives none; without good labels all
     weights are 0 and all rows stay.
     """
-    quality, scores, _ = train(docs, labels, id_col, text_col, **options)
-    return scores.where(F.col("_sample_key") >= quality.threshold).select(F.col("_id").alias(id_col), F.col("_log_weight").alias("log_weight"), F.col("_sample_key").alias("sample_key"))
+    quality, table, _ = train(docs, labels, id_col, text_col, **options)
+    return table.where(F.col("_sample_key") >= quality.threshold).select(F.col("_id").alias(id_col), F.col("_log_weight").alias("log_weight"), F.col("_sample_key").alias("sample_key"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps, with all their columns; the text isn't shuffled, it is scored again."""
-    quality, scores, scratch = train(docs, labels, id_col, text_col, **options)
-    scratch.drop(scores)
-    kept = with_scores(docs, quality.model, id_col, text_col, options.get("seed", 17)).where(F.col("_sample_key") >= quality.threshold)
-    return kept.drop("_log_weight", "_sample_key")
+    quality, table, scratch = train(docs, labels, id_col, text_col, **options)
+    scratch.drop(table)
+    return filtered(docs, quality.model, quality.threshold, id_col, text_col, options.get("seed", 17))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

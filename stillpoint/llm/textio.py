@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,22 @@ import xxhash
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def slices(batches, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about ``max_bytes`` of ``column`` (at least one row)."""
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not the GNU library
+    _TRIM = None
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batches, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each slice holds about ``max_bytes`` of ``column`` (at least one row); tidies up at both ends."""
+    tidy()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -24,6 +39,8 @@ def slices(batches, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    tidy()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -34,7 +51,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class Bounded(dict):
     """A cache computed on a miss and emptied when it holds ``limit`` entries."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 200_000):
         super().__init__()
         self._compute, self._limit = compute, limit
 

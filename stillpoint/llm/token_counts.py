@@ -25,7 +25,7 @@ _SPACE = "▁"
 class PieceCounter:
     """Counts tokens with one model; ``batch_bytes`` bounds a call of the library."""
 
-    def __init__(self, path: str, limit: int = 400_000, batch_bytes: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 300_000, batch_bytes: int = 1 << 20):
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -97,7 +97,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         counter = piece_counter(path)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text"):
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(b.column(1)), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(counter.count(texts_of(b)), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
