@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..scratch import Scratch
 
 #: Kinds with their patterns, in order of precedence at one place.
 PATTERNS = {
@@ -68,6 +68,10 @@ def normal(kind: Column, entity: Column) -> Column:
     return F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, r"[ ().-]", "")).otherwise(entity)
 
 
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, "(?!^)"), lambda c: c != "")
+
+
 def _hex(kind: Column, norm: Column, attempt: Column, key: Key, what: str) -> Column:
     return F.sha2(F.concat_ws("\u001f", F.lit(key.secret), F.lit(what), kind, norm, attempt.cast("string")), 256)
 
@@ -99,7 +103,7 @@ def _in_format(text: Column, digest: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, "(?!^)"), at), "")
+    return F.array_join(F.transform(_chars(text), at), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -111,12 +115,12 @@ def _luhn(digits: Column) -> Column:
         twice = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
         return F.when((n - 1 - i) % 2 == 1, twice).otherwise(d)
 
-    return F.aggregate(F.transform(F.split(digits, "(?!^)"), value), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(_chars(digits), value), F.lit(0), lambda a, x: a + x)
 
 
 def _fill(shape: Column, digits: Column) -> Column:
     """The characters of ``digits`` put, in order, in the places of digits of ``shape``."""
-    chars = F.split(shape, "(?!^)")
+    chars = _chars(shape)
     nth = lambda i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c.rlike("[0-9]")))
     return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, nth(i).cast("int"), F.lit(1))).otherwise(c)), "")
 
