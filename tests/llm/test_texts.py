@@ -1,0 +1,274 @@
+"""Operators on single texts: against libraries, brute force and round trips; nulls, empty, long and repeated rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stillpoint.llm import bpe, fingerprints, html_extract, secret_scan, token_counts
+from stillpoint.llm.bpe import WordBpe
+
+POOL = "aaaabcAB z'st re'LL<|endoftext|>'ve 12²½éÉßİſḰ  \x1c\x85日本語한글🙂ﬁ\n\t\x00‍_-.,!?▁<s></s>"
+TEXTS = st.text(st.sampled_from(POOL) | st.characters(exclude_categories=["Cs"]), max_size=60)
+
+
+def odd_table(spark):
+    """Null and empty texts, a null id, repeated rows, a very long text, and columns whose names clash with inner ones."""
+    rows = [(1, None, 0, "x"), (2, "", 1, "y"), (None, "a b password = 'abcdefghijkl12'", 2, "z"), (3, "same text here", 3, None), (3, "same text here", 3, None), (4, "word " * 60_000, 4, "w")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, id int, spans string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+# Secrets
+
+
+def brute_secrets(text):
+    out = {"assign": [m.span() for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 12], "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18], "hex": [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]}
+    return sorted(((a, b, k) for k, v in out.items() for a, b in v), key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def test_secrets_whole_table(spark, sf, docs):
+    got = {r.doc_id: r for r in secret_scan.op1_secret_scans(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        base = brute_secrets(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for _, _, k in base) for x in ("assign", "access", "hex")]
+        assert {f"{k}:{a}:{b}" for a, b, k in base} <= set(filter(None, got[i].spans.split(",")))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("pasword=:'\" AKI0123456789abcdefTOKENſK"), max_size=80))
+def test_secrets_base(text):
+    text = text.replace("p", "password", 1).replace("K", "AKIA", 1)
+    assert [s for s in secret_scan.find_secrets(text) if not s[2].startswith("entropy")] == brute_secrets(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("abcdefgh0123XYZ"), min_size=1, max_size=60))
+def test_entropy_windows(s):
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    hot = set()
+    for i in range(len(s) - 9):
+        if entropy(s[i : i + 10]) >= 2.9 - 1e-12:
+            hot |= set(range(i, i + 10))
+    got = {p for a, b in secret_scan.entropy_windows(s, 10, 2.9) for p in range(a, b)}
+    assert got == hot
+
+
+def test_entropy_finds_and_allows():
+    key = "q7Zk9XvB2mLp4RtY8wNc3HdF6sGj1"
+    assert secret_scan.find_secrets(f"key {key} end") == [(4, 4 + len(key), "entropy_base64")]
+    for harmless in ("123e4567-e89b-12d3-a456-426614174000", "1234567890123456789012345678", "internationalisationsverwaltungen", "a" * 40):
+        assert not [s for s in secret_scan.find_secrets(harmless) if s[2].startswith("entropy")]
+
+
+def test_secrets_odd(spark):
+    got = [(r.doc_id, len(r.spans)) for r in secret_scan.secret_spans(odd_table(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (2, 0), (None, 1), (3, 0), (3, 0), (4, 0)], key=str)
+    clean = secret_scan.redact_secrets(odd_table(spark)).collect()
+    assert [r.text for r in clean if r.doc_id is None] == ["a b [SECRET]'"] and [r.text for r in clean if r.doc_id == 1] == [None]
+    assert secret_scan.redact_secrets(odd_table(spark)).columns == ["doc_id", "text", "id", "spans"]
+    assert secret_scan.secret_spans(odd_table(spark).limit(0)).count() == 0
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+@pytest.fixture(scope="module")
+def own():
+    return WordBpe(bpe.default_path())
+
+
+def test_bpe_whole_table(spark, sf, docs, library):
+    got = {r.doc_id: r for r in bpe.op2_bpe_encode_decode(spark, sf).collect()}
+    for i, t in docs:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_bpe_any_text(own, library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert own.encode([text])[0].tolist() == ids
+    assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "!" * 300, "<|startoftext|>x<|endoftext|>", ""])
+def test_bpe_long_words(own, library, text):
+    assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_forgets_and_relearns(library):
+    small = WordBpe(bpe.default_path(), limit=3)
+    table = small.derived(len)
+    rng = random.Random(1)
+    for _ in range(20):
+        t = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(6)) + " <|endoftext|>"
+        words = small.words(t)
+        small.learn(set(words))
+        assert sum(table[w] for w in words) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_bpe_odd(spark, library):
+    df = odd_table(spark)
+    ids = bpe.encode_ids(df)
+    back = bpe.decode_ids(ids)
+    got = sorted(((r.doc_id, r.text) for r in back.collect()), key=str)
+    want = sorted(((r.doc_id, library.decode(library.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False)) for r in df.collect()), key=str)
+    assert got == want
+    assert bpe.round_trip_digests(df).count() == 6 and bpe.round_trip_digests(df.limit(0)).count() == 0
+
+
+# Token counts
+
+
+@pytest.fixture(scope="module")
+def counter():
+    import sentencepiece
+
+    return token_counts.PieceCounter(token_counts.default_path()), sentencepiece.SentencePieceProcessor(model_file=token_counts.default_path())
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_counts_any_text(counter, text):
+    assert counter[0].count([text]) == [len(counter[1].encode(text))]
+
+
+def test_counts_whole_table(spark, sf, docs, counter):
+    got = {r.doc_id: r for r in token_counts.op10_token_counts(spark, sf).collect()}
+    want = dict(zip((i for i, _ in docs), map(len, counter[1].encode([t for _, t in docs], num_threads=2)), strict=True))
+    for i, t in docs:
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(t.encode()), want[i], want[i] > 4096)
+
+
+def test_counts_odd(spark):
+    got = {(r.doc_id, r.n_tokens, r.n_bytes) for r in token_counts.token_counts(odd_table(spark)).collect()}
+    assert {(1, 0, 0), (2, 0, 0)} <= got and any(i is None for i, _, _ in got)
+    assert token_counts.token_counts(odd_table(spark)).count() == 6 and token_counts.token_counts(odd_table(spark).limit(0)).count() == 0
+
+
+# HTML
+
+
+def test_html_whole_table(spark, sf):
+    import html
+
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in html_extract.op9_html_extraction(spark, sf).collect()}
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
+
+
+BODY = "<p>First, a paragraph of some length, with commas, that reads like running text.</p><p>Second, and a bit more of it, so that it counts.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><header><h1>Site</h1></header><div id=main>{BODY}</div><aside>beside, it, is</aside><footer>foot</footer>",
+        f"<div class='content'><div class='inner'>{BODY}</div></div><div class='comments'><p>A reader, who says, this, that, and the other thing, at some length.</p></div>",
+        f"<div class=cookie-notice>We use cookies, yes.</div><main>{BODY}</main><form><p>Your name, please</p><input></form><script>var a = '<p>no, no</p>';</script>",
+        f"<nav><ul><li><a href=/>Home</a></ul></nav><section>{BODY}</section><div role=complementary>more, more</div><style>p {{}}</style><!-- <p>gone</p> -->",
+        f"<div><ul class='menu'><li><a href=a>one</a><li><a href=b>two</a></ul>{BODY}<div class='ad-banner'>Buy, now</div></div>",
+    ],
+)
+def test_html_layouts(page):
+    assert html_extract.main_text(page) == "First, a paragraph of some length, with commas, that reads like running text.\nSecond, and a bit more of it, so that it counts."
+
+
+def test_html_text_rules():
+    got = html_extract.main_text("<article><h2>A &amp; B&nbsp;C</h2><p>x\n\t y <b>bold</b>er<br>next &lt;tag&gt;</p><ul><li>one<li>two, <i>three</i></ul>tail</article>")
+    assert got == "A & B C\nx y bolder next <tag>\none\ntwo, three\ntail"
+    for junk in ("", "<", "<p", "</p></div>", "<p>a<b>c", "<script>x", "<!-- x", "&#x110000;&bogus;", "<a href='x>y"):
+        assert isinstance(html_extract.main_text(junk), str)
+
+
+def test_html_odd(spark):
+    df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>hello, world</p>", 2), (2, "u", "<p>" + "long, text " * 50_000 + "</p>", 3)], "page_id bigint, url string, html string, text int")
+    got = html_extract.extract_text(df).collect()
+    assert sorted((str(r.page_id), len(r.text)) for r in got) == [("1", 0), ("1", 0), ("2", 549_999), ("None", 12)]
+    assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
+# Fingerprints
+
+
+def shingles(t):
+    w = t.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_fingerprints_whole_table(spark, sf, docs):
+    got = {r.doc_id: r for r in fingerprints.op6_document_fingerprints(spark, sf).collect()}
+    order = sorted(docs, reverse=True)
+    errors = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for near, a, b in ((r.near_edited, shingles(t), shingles(edited)), (r.near_next, shingles(t), shingles(u))):
+            errors.append(near - len(a & b) / max(1, len(a | b)))
+    assert np.abs(errors).max() < 0.13 and np.abs(errors).mean() < 0.02
+
+
+def test_fingerprints_parts(spark, docs):
+    """The order over parts is the order over the whole table."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    dealt = fingerprints.with_next_text(df, bytes_per_part=20_000)
+    parts = {}
+    for r in dealt.collect():
+        parts.setdefault(r.part, []).append((r.last, r.id))
+    assert len(parts) > 5
+    seen = [i for p in sorted(parts) for last, i in parts[p] if not last]
+    assert seen == sorted((i for i, _ in docs), reverse=True)
+    firsts = [[i for last, i in parts[p] if not last][0] for p in sorted(parts)]
+    assert [[i for last, i in parts[p] if last][0] for p in sorted(parts)] == firsts[1:] + firsts[:1]
+    one = fingerprints.neighbour_fingerprints(df.where(F.col("doc_id") == 5)).first()
+    assert one.near_next == 1.0
+
+
+def test_fingerprints_odd(spark):
+    df = odd_table(spark)
+    got = fingerprints.neighbour_fingerprints(df).collect()
+    assert len(got) == 6 and len({r.fingerprint for r in got if r.doc_id == 3}) == 1 and {r.n_chars for r in got if r.doc_id == 1} == {0}
+    assert fingerprints.fingerprints(df).count() == 6
+    assert fingerprints.neighbour_fingerprints(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 8])
+def test_packing_bits(bits):
+    rng = np.random.RandomState(1)
+    low = rng.randint(0, 2**62, (3, 64)).astype(np.uint64)
+    p = fingerprints.pack(low, bits)
+    assert p.shape == (3, 8 * bits) and fingerprints.likeness(p, p, bits).tolist() == [1, 1, 1]
+    share = ((low[0] & np.uint64((1 << bits) - 1)) == (low[1] & np.uint64((1 << bits) - 1))).mean()
+    want = min(1, max(0, (share - 2.0**-bits) / (1 - 2.0**-bits)))
+    assert fingerprints.likeness(p[:1], p[1:2], bits)[0] == pytest.approx(want)
