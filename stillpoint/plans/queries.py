@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import hashing, tokens
-from ..operators import allocate, merge, promote, propose, qa, segment, survive, transcript
+from ..operators import allocate, attribution, merge, promote, propose, qa, segment, survive, transcript
 from ..sources import views
 from ..sources.views import V1, V2, V3, V4, V5, V6
 from .sqltext import LIST, raw_sql, strict_sql, tokens_sql
@@ -296,27 +296,19 @@ _DF = f"{V3}, tk as (select video_id, sample_idx, ocr_text, {_TOK} as toks from
 
 
 def _frequency(spark, d):
-    rows = views.texts(spark, d).withColumn("toks", tokens.token_set(F.col("ocr_text")))
-    return rows, rows.select("video_id", F.explode("toks").alias("token")).groupBy("video_id", "token").agg(F.count("*").alias("docs"))
+    return attribution.document_frequency(views.texts(spark, d))
 
 
 @query(f"with {_DF} select * from dfq")
 def doc_frequency(spark, d):
-    return _frequency(spark, d)[1]
+    return _frequency(spark, d)
 
 
 @query(f"""with {_DF}, n as (select video_id, count(*) as n from v3 group by all), w as (select video_id, sample_idx, unnest(list_filter(regexp_split_to_array(ocr_text, '\\s+'), lambda x: x <> '')) as word, generate_subscripts(list_filter(regexp_split_to_array(ocr_text, '\\s+'), lambda x: x <> ''), 1) as pos from v3),
 k as (select w.*, regexp_replace(lower(word), '[^\\p{{L}}\\p{{N}}_]', '', 'g') as t from w), kept as (select k.*, row_number() over (partition by k.video_id, sample_idx order by pos) as r from k left join dfq on k.video_id = dfq.video_id and t = token join n on n.video_id = k.video_id where coalesce(docs, 0) / n <= 0.5)
 select v3.video_id, v3.sample_idx, coalesce(string_agg(word, ' ' order by pos) filter (where r <= 70), '') as filtered from v3 left join kept on v3.video_id = kept.video_id and v3.sample_idx = kept.sample_idx group by all""")
 def df_filter(spark, d):
-    """Words of at most half of a recording's samples, the first 70 of each text."""
-    rows, frequency = _frequency(spark, d)
-    counts = rows.groupBy("video_id").agg(F.count("*").alias("n"))
-    word = rows.select("video_id", "sample_idx", F.posexplode(tokens.words(F.col("ocr_text"))).alias("pos", "word")).withColumn("token", tokens.normalized(F.col("word")))
-    kept = word.join(frequency, ["video_id", "token"], "left").join(counts, "video_id").where(F.coalesce("docs", F.lit(0)) / F.col("n") <= 0.5)
-    first = kept.withColumn("r", F.row_number().over(Window.partitionBy("video_id", "sample_idx").orderBy("pos"))).where("r <= 70")
-    text = first.groupBy("video_id", "sample_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("filtered"))
-    return rows.select("video_id", "sample_idx").join(text, ["video_id", "sample_idx"], "left").withColumn("filtered", F.coalesce("filtered", F.lit("")))
+    return attribution.filter_frequent(views.texts(spark, d)).select("video_id", "sample_idx", F.col("filtered_text").alias("filtered"))
 
 
 @query(f"""with {V3} select video_id, sample_idx, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(ocr_text, '\\s+'), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_.-]', '', 'g')), lambda t: t <> '' and length(t) <= 48 and not starts_with(t, 'http') and not starts_with(t, 'www') and not contains(t, 'users') and not contains(t, 'downloads'))[1:120])), ' ') as tokens from v3""")
@@ -569,6 +561,17 @@ def promotion_preflight(spark, d):
     return promote.promotion_preflight(base, rescue, now, 4).select("video_id", "sample_idx", F.col("phase_a_rank").cast("bigint").alias("phase_a_rank"), "outcome")
 
 
+@query()
+def swap_promotion(spark, d):
+    """Order-dependent; tests hold it against known cases."""
+    rescue, base = _split(spark, d)
+    cluster = lambda df: df.withColumn("clip_cluster", (F.col("scene_id") % 3).cast("bigint"))
+    # candidates show what every form shows, rescue rows all they have
+    base = cluster(base).withColumn("tokens", F.filter("tokens", lambda t: t.isin("form", "request", "owner", "unit", "date", "review", "case")))
+    rescue = cluster(rescue).withColumn("proxy_content_score", F.col("proxy_content_score") + 1)
+    return promote.swap_promotion(rescue, base, promote.additive_promotion(rescue, base, 2), 8)
+
+
 # Lanes
 
 

@@ -37,6 +37,21 @@ def manifest_documents(rows: DataFrame, key: str = KEY, schema_version: int = 1)
     return joined.select(key, F.concat(head, F.col("_rows"), F.lit("]}")).alias("value"))
 
 
+# Columns that a caption row must have, and what others are where absent.
+CAPTION_REQUIRED = ["caption", "caption_cluster", "merged_from", "clip_cluster", "clip_cluster_size"]
+
+
+def caption_documents(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, value): the JSON list of a recording's selected rows for captions.json; KeyError if a required column is absent."""
+    absent = [c for c in CAPTION_REQUIRED if c not in rows.columns]
+    if absent:
+        raise KeyError(f"captions need {absent}")
+    named = rows.withColumn("path", frame_name(F.col("frame_idx"), F.col("ts")))
+    cols = [c for c in named.columns if c not in (key, "embedding", "content", "png")]
+    each = named.select(key, F.struct("ts", "sample_idx").alias("_o"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("_j"))
+    return each.groupBy(key).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_j"))), lambda x: x["_j"]), ","), F.lit("]")).alias("value"))
+
+
 def write_manifest(selected: DataFrame, path: str, segments: DataFrame | None = None, key: str = KEY) -> None:
     manifest_documents(manifest_rows(selected, segments, key), key).write.mode("overwrite").partitionBy(key).text(path)
 
