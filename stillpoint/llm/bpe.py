@@ -37,7 +37,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one file of kind BPE with word ends."""
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -204,7 +204,7 @@ def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def run(batches):
         bpe = word_bpe(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids = bpe.encode(texts_of(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -240,7 +240,7 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tokens = bpe.derived(lambda ids: bpe.decode(ids).encode("utf-8"))
         sha = lambda parts: hashlib.sha256(b" ".join(parts)).hexdigest()
         try:
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 2 << 20):
                 lists = [bpe.words(t) for t in texts_of(b)]
                 bpe.learn(set().union(*lists))
                 cols = [
