@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def vector_hash(vector: Column, bits: int = 63) -> Column:
     """A difference hash of a vector: bit i says whether component i exceeds component i+1, the first bit highest."""
-    step = lambda a, i: a * 2 + (vector.getItem(i - 1) > vector.getItem(i)).cast("bigint")
+    step = lambda a, i: a * 2 + (F.get(vector, i - 1) > F.get(vector, i)).cast("bigint")
     return F.aggregate(F.sequence(F.lit(1), F.lit(bits)), F.lit(0).cast("bigint"), step)
 
 

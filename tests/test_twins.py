@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 import pytest
 
 from stillpoint.plans import queries as plans
 
 
 def cell(v):
-    if v is None or v is not v or (isinstance(v, float) and math.isnan(v)):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
