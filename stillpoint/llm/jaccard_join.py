@@ -40,7 +40,7 @@ class Rule:
     #: Largest group whose pairs are listed one by one; larger ones go to tiles.
     pairs_up_to: int = 6
     #: Texts in a tile.
-    block: int = 512
+    block: int = 2048
     #: Texts of a large group that are put into each of its tiles.
     pivots: int = 8
 
