@@ -334,7 +334,7 @@ def line_signatures(spark, d):
 
 @query()
 def field_signatures(spark, d):
-    """Names of stated fields; their short hashes have no twin in SQL, tests hold them against plain Python."""
+    """Names of stated fields; their short hashes have no twin in SQL, tests hold literal cases."""
     return views.texts(spark, d).select("video_id", "sample_idx", F.array_join(ev.field_signatures(F.col("ocr_text"), tokens.token_set(F.col("ocr_text"))), "|").alias("signature"))
 
 
@@ -599,7 +599,7 @@ def legacy_lane(spark, d):
 
 @query()
 def shortlist_union(spark, d):
-    """Union of the lanes, one of which is order-dependent; tests hold it against plain Python."""
+    """Ordered union of the lanes, one of which is order-dependent."""
     return propose.shortlist(_peaks(spark, d))
 
 
@@ -608,7 +608,7 @@ def shortlist_union(spark, d):
 
 @query()
 def near_time_dedupe(spark, d):
-    """Order-dependent folds; tests hold them against plain Python."""
+    """An order-dependent fold; tests hold literal cases."""
     return survive.near_time_dedupe(views.candidates(spark, d)).select("video_id", "sample_idx", "kept", "survivor_idx")
 
 
