@@ -639,8 +639,8 @@ _PV = f"{V4}, pr as (select a.video_id, a.sample_idx as i, b.sample_idx as j, a.
 
 @query(f"""with {_PV} select video_id, i, j, case when {differ_sql('ta', 'tb')} then 'ocr-evidence' when {_JAC} < 0.75 then 'ocr-jaccard' when greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) then 'ocr-density' else 'merge' end as reason, round({_JAC}, 6) as jaccard from pr""")
 def pair_verdicts(spark, d):
-    near = F.col("b_ts") - F.col("a_ts") <= 5
-    return merge.pair_verdicts(views.candidates(spark, d), within=near).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
+    """All pairs i < j of a recording, however far apart."""
+    return merge.pair_verdicts(views.candidates(spark, d)).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
 
 
 @query()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
+from stillpoint.functions import policy
 from stillpoint.plans import queries as plans
 from stillpoint.sources import views
 
@@ -51,3 +53,29 @@ def test_totals_of_every_recording(spark, sf, nearest):
     n = Counter((stage, x[0]) for (_, _, stage), x in nearest.items())
     got = {r.stage: (r.direct, r.lineage_only, r.miss) for r in plans.QUERIES["qa_totals"](spark, sf).collect()}
     assert got == {s: tuple(n[s, k] for k in range(3)) for s in (SAMPLED, PASS1, FINAL)}
+
+
+def test_verdicts_of_every_pair(spark, sf):
+    recordings = defaultdict(list)
+    for r in views.candidates(spark, sf).collect():
+        recordings[r.video_id].append(policy.Sample(r.sample_idx, r.ts, frozenset(r.tokens)))
+
+    def verdict(a, b):
+        if policy.evidence_differs(a, b):
+            return "ocr-evidence"
+        if policy.jaccard(a.tokens, b.tokens) < 0.75:
+            return "ocr-jaccard"
+        if policy.density_veto(a.tokens, b.tokens):
+            return "ocr-density"
+        return "time-transcript" if b.ts - a.ts > 30 else "merge"
+
+    assert all(len(s.tokens) >= 3 for rows in recordings.values() for s in rows)
+    want, far = {}, Counter()
+    for video, rows in recordings.items():
+        for a, b in combinations(sorted(rows, key=lambda s: s.idx), 2):
+            want[video, a.idx, b.idx] = (verdict(a, b), round(policy.jaccard(a.tokens, b.tokens), 6))
+            far[want[video, a.idx, b.idx][0]] += b.ts - a.ts > 5
+    assert far["merge"] and far["time-transcript"]
+    got = plans.QUERIES["pair_verdicts"](spark, sf).collect()
+    assert len(got) == len(want)
+    assert {(r.video_id, r.i, r.j): (r.reason, round(r.jaccard, 6)) for r in got} == want
