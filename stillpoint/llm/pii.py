@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
+#: A word of a name: capitals within it and after an apostrophe too, as in McDonald and O'Neil; and an initial with what parts it.
+_WORD, _INITIAL = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}\p{M}]+(?:['’]?\p{Lu}[\p{Ll}\p{M}]+)*", r"\p{Lu}(?:\.[ -]?|[ -])"
 #: Kinds with their patterns, in order of precedence at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -26,7 +28,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.A-Za-z])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\.? " + f"(?:{_INITIAL})*{_WORD}(?:[ -](?:{_INITIAL})*{_WORD})*" + r"(?![\p{L}])",
 }
 #: A text without any of these has no entity.
 HINT = r"[0-9@]|Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία"

@@ -333,6 +333,14 @@ def test_surrogates_types(spark):
     assert pii.surrogates(df, key=pii.Key("other")).where("doc_id = 2").first().text not in same
 
 
+def test_surrogates_whole_names(spark):
+    names = ["Mr. John Paul Smith", "Mr McDonald", "Dr O'Neil", "Dr O’Neil", "Mr J. Smith", "Mr J.R. Smith", "Mr J Smith", "Mrs Anna Maria de", "Ms Mary-Jane O'Hara Smith"]
+    df = spark.createDataFrame([(i, f"Then {n} left, and so on.") for i, n in enumerate(names)], "doc_id bigint, text string")
+    for r in pii.surrogates(df).collect():
+        assert r.n_entities == 1 and r.text.endswith((" left, and so on.", " de left, and so on.")) and re.fullmatch(r"Then (Mr\.?|Dr|Mrs|Ms) \w+([ -]\w+)?( de)? left, and so on\.", r.text)
+        assert not re.search("John|Paul S|Smith|Donald|Neil|Jane|Hara", r.text)
+
+
 def test_surrogate_collisions_are_settled(spark):
     """Eight one-digit entities share ten surrogates: many collide, all end up different and none is an entity."""
     found = spark.createDataFrame([("ssn", f"{i}") for i in range(5)], "kind string, norm string")
