@@ -2,8 +2,8 @@
 
 Method. A tolerant scanner builds the tree of containers and their text blocks. Each paragraph-like block gives points
 for its length and commas to its ancestors, halving with the distance; a container's sum is discounted by the share of
-its text that stands in links. The best container is kept, with siblings that score high enough or read like running
-text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never enter the tree.
+its text that stands in links. The best container is kept, with siblings whose text stands in links for less than three
+tenths. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never enter the tree.
 """
 
 from __future__ import annotations
@@ -262,9 +262,11 @@ def main_text(page: str) -> str:
         if up is x:
             best = x
             break
+    # a wrapper around the best container alone stands for it
+    while best.tag not in ("article", "main", "body") and best.parent is not None and best.parent.parent is not None and best.parent.tag not in ("body", "html") and best.parent.size == best.size:
+        best = best.parent
     keep = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
-        limit = max(1.0, 0.2 * best.score)
         keep = []
         for c in best.parent.children:
             if c is best:
@@ -272,7 +274,7 @@ def main_text(page: str) -> str:
             elif isinstance(c, Block):
                 if c.link < 0.3 * len(c.text):
                     keep.append(c)
-            elif c.size and c.link < 0.3 * c.size and (c.score >= limit or c.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "dl", "table", "figure", "section")):
+            elif c.size and c.link < 0.3 * c.size:
                 keep.append(c)
     return "\n".join(b.text for x in keep for b in ([x] if isinstance(x, Block) else _blocks(x)))
 

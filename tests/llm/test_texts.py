@@ -209,6 +209,14 @@ def test_html_text_rules():
         assert isinstance(html_extract.main_text(junk), str)
 
 
+def test_html_short_siblings_without_article():
+    long = "words, " * 10 + "word " * 186
+    want = f"{long.strip()}\nShort note."
+    assert html_extract.main_text(f"<body><div id=x><div><p>{long}</p></div><div><p>Short note.</p></div></div></body>") == want
+    assert html_extract.main_text(f"<body><div id=x><div><div><p>{long}</p></div></div><div><p>Short note.</p></div></div></body>") == want
+    assert html_extract.main_text(f"<body><div id=x><div><p>{long}</p></div><div><p>Short note.</p></div><div><a href=a>one</a> <a href=b>two</a></div></div></body>") == want
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>hello, world</p>", 2), (2, "u", "<p>" + "long, text " * 50_000 + "</p>", 3)], "page_id bigint, url string, html string, text int")
     got = html_extract.extract_text(df).collect()
