@@ -66,8 +66,9 @@ def kind_of(entity: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """What mentions of one entity share: addresses without case, numbers without separators."""
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, r"[ ().-]", "")).otherwise(entity)
+    """What mentions of one entity share: addresses without case, numbers without separators, names without the honorific's dot and with a space after each initial's."""
+    name = F.regexp_replace(F.regexp_replace(entity, r"^(\p{L}+)\. ", "$1 "), r"\.(?=\p{L})", ". ")
+    return F.when(kind == "name", name).when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, r"[ ().-]", "")).otherwise(entity)
 
 
 def _chars(text: Column) -> Column:
@@ -205,8 +206,8 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """(id, text, n_entities) of every row: its whole text with all entities replaced.
 
     Null text stays null, with no entities; a null id stays null; repeated rows give repeated rows; other columns are not
-    read; an empty table gives no rows. Mentions in another format (separators, case) get the same surrogate in their
-    own format.
+    read; an empty table gives no rows. Mentions in another format (separators, an honorific's dot, an address all in
+    capitals) get the same surrogate in their own format; an address in mixed case gets it in small letters.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pii")
@@ -219,6 +220,8 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     shaped = (
         F.when(F.col("kind").isin("card", "phone", "ssn"), _fill(F.col("entity"), F.regexp_replace(given, "[^0-9]", "")))
         .when((F.col("kind") == "iban") & F.contains("entity", F.lit(" ")), F.trim(F.regexp_replace(given, "(.{4})", "$1 ")))
+        .when((F.col("kind") == "email") & (F.col("entity") == F.upper("entity")), F.upper(given))
+        .when((F.col("kind") == "name") & F.col("entity").rlike(r"^\p{L}+\. "), F.regexp_replace(given, "^([^ ]+) ", "$1. "))
         .otherwise(given)
     )
     told = mention.join(table, ["kind", "norm"]).select("_row", F.struct("_pos", shaped.alias("new")).alias("_one"))

@@ -341,6 +341,13 @@ def test_surrogates_whole_names(spark):
         assert not re.search("John|Paul S|Smith|Donald|Neil|Jane|Hara", r.text)
 
 
+def test_surrogates_of_other_formats(spark):
+    df = spark.createDataFrame([(1, "Mr Smith"), (2, "Mr. Smith"), (3, "Dr. J.R. Smith"), (4, "Dr J. R. Smith"), (5, "a.b@mail.example.com"), (6, "A.B@MAIL.EXAMPLE.COM")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.surrogates(df).collect()}
+    assert got[2] == got[1].replace("Mr ", "Mr. ") and got[3] == got[4].replace("Dr ", "Dr. ")
+    assert got[6] == got[5].upper() and got[5] == got[5].lower()
+
+
 def test_surrogate_collisions_are_settled(spark):
     """Eight one-digit entities share ten surrogates: many collide, all end up different and none is an entity."""
     found = spark.createDataFrame([("ssn", f"{i}") for i in range(5)], "kind string, norm string")
