@@ -1,4 +1,4 @@
-"""Structured Streaming forms of dwell segmentation, adjacent and near-time deduplication, and windowed counts.
+"""Structured Streaming forms of dwell segmentation and adjacent deduplication, windowed counts and sessions.
 
 State is a recording's last samples only. Rows of a micro-batch are sorted by time before they are folded; a row that
 is older than one already folded is late and left out, as a watermark would do.
