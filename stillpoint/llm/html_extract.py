@@ -21,7 +21,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml canvas xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -162,8 +162,10 @@ def parse(page: str) -> Node:
         attrs = m[3] or ""
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, pos)
-            if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if tag in ("script", "style", "title", "textarea"):
                 pos = end.end() if end else n
+            elif end and not attrs.rstrip().endswith("/"):
+                pos = end.end()
             continue
         if tag in VOID:
             if tag == "hr":

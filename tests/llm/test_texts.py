@@ -217,6 +217,16 @@ def test_html_short_siblings_without_article():
     assert html_extract.main_text(f"<body><div id=x><div><p>{long}</p></div><div><p>Short note.</p></div><div><a href=a>one</a> <a href=b>two</a></div></div></body>") == want
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "iframe", "noscript"])
+def test_html_unclosed_raw(tag):
+    assert html_extract.main_text(f"<article><p>One.</p><{tag}><p>Two.</p></article>") == "One.\nTwo."
+
+
+def test_html_raw_inside():
+    got = html_extract.main_text("<article><p>So <math><mi>x</mi><annotation>tex</annotation></math> is, <object data=a>a chart</object> shows<svg><text>no</text></svg>.</p><script>var a</article>")
+    assert got == "So x is, a chart shows."
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>hello, world</p>", 2), (2, "u", "<p>" + "long, text " * 50_000 + "</p>", 3)], "page_id bigint, url string, html string, text int")
     got = html_extract.extract_text(df).collect()
