@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import zip_longest
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -355,6 +358,123 @@ def test_surrogate_collisions_are_settled(spark):
     assert len(got) == 5 and len({r.surrogate for r in got}) == 5 and not {r.surrogate for r in got} & {r.norm for r in got}
 
 
+def plain_permuted(values, many, tag):
+    """The permutation in plain Python."""
+
+    def number(*x):
+        return int(hashlib.sha256("\x1f".join(x).encode()).hexdigest()[:12], 16)
+
+    def shifted(x, of, by, sign, what):
+        d = hashlib.sha256("\x1f".join([tag, what, ",".join(map(str, by))]).encode()).hexdigest()
+        return [(v + sign * (number(d, str(i)) % m)) % m for i, (v, m) in enumerate(zip(x, of, strict=True))]
+
+    a, b, p, q = values[::2], values[1::2], many[::2], many[1::2]
+    for k in range(pii.ROUNDS):
+        a, b, p, q = b, shifted(a, p, b, 1, str(k)), q, p
+    step = lambda x, of, side: [(v + 1 + number(tag, f"step{side}", str(i)) % max(m - 1, 1)) % m for i, (v, m) in enumerate(zip(x, of, strict=True))]
+    a, b = step(a, p, "a"), step(b, q, "b")
+    for k in reversed(range(pii.ROUNDS)):
+        a, b, p, q = shifted(b, q, a, -1, str(k)), a, q, p
+    return [x for pair in zip_longest(a, b) for x in pair if x is not None]
+
+
+def plain_entities(text):
+    """(kind, start, end) of the entities of a text, with another engine of regular expressions."""
+    return [(next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, m[0])), *m.span()) for m in regex.finditer(pii.ENTITY, text)] if text else []
+
+
+def test_surrogates_against_plain_python(spark):
+    """Every text of sf0.01: what is found, and that all else stays; e-mail addresses, phones and IPv4 addresses to the letter."""
+    key, d = pii.Key("twin"), "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {i: plain_entities(t) for i, t in texts.items()}
+    got = {r.doc_id: r for r in pii.surrogates(docs, key=key).collect()}
+    table = {(r.kind, r.norm): r for r in pii.with_format(spark.createDataFrame(sorted({(k, texts[i][a:b].lower() if k == "email" else re.sub("[ ().-]", "", texts[i][a:b]) if k != "ip" else texts[i][a:b]) for i, f in found.items() for k, a, b in f}), "kind string, norm string")).collect()}
+    told, exact = {}, 0
+    for i, t in texts.items():
+        assert got[i].n_entities == len(found[i])
+        at = 0
+        new, out = got[i].text, 0
+        for k, a, b in found[i]:
+            assert new[out : out + a - at] == t[at:a]
+            out += a - at
+            one = new[out : out + b - a] if k != "ip" else re.match(r"[0-9.]+", new[out:])[0].rstrip(".")
+            out, at = out + len(one), b
+            assert told.setdefault((k, t[a:b]), one) == one != t[a:b]
+            if k in ("email", "phone", "ip"):
+                norm = t[a:b].lower() if k == "email" else re.sub("[ ().-]", "", t[a:b]) if k == "phone" else t[a:b]
+                r = table[k, norm]
+                values = plain_permuted([p.value for p in r._p], [p.many for p in r._p], "\x1f".join(["twin", r._format, "0"]))
+                want = "".join(chr(p.base + v) for p, v in zip(r._p, values, strict=True)) if k != "ip" else ".".join(str(p.base + v) for p, v in zip(r._p, values, strict=True))
+                top = re.search(r"\.[a-z]+$", norm)[0] if k == "email" else ""
+                have = re.sub("[^a-z0-9]", "", one.removesuffix(top)) if k == "email" else re.sub("[^0-9]", "", one)[-len(want) :] if k == "phone" else one
+                exact += have == want
+                assert have == want
+        assert new is None and t is None or new[out:] == t[at:]
+    assert exact > 20 and len({(k, v) for (k, _), v in told.items()}) == len(told) and not {v for _, v in told.items()} & {m for _, m in told}
+
+
+@pytest.mark.parametrize("head, again, tail, n", [
+    ("x a@b", ".a", " y", 0), ("", "a", "@b.com", 1), ("", "a.", "", 0), ("", "a'", "a@b.com", 1), ("", "@a", "", 0), ("x@", "a-", "b.com", 1), ("a@", "𝒜a", ".com", 1), ("x@y", ".com", "", 1),
+    ("Mr ", "John ", "", 1), ("Mr ", "J. ", "X", 1), ("Mr A ", "de ", "", 1), ("Mr A", "-Bc", "", 1), ("Mr ", "O'Brien'", "", 1), ("Mr ", "Ab", "", 1), ("", "1", "", 0), ("", "1 ", "", 0), ("", "1.", "", 0),
+    ("", "1-", "", 0), ("", "a:", "", 0), ("", ":", "", 0), ("", "(555) ", "", 0), ("DE89 ", "X", "", 0), ("", "MrA ", "", 0), ("Mr", " ", "X", 0),
+])
+def test_surrogates_long_repeats(spark, head, again, tail, n):
+    """No repeated part of a pattern overflows the stack, or takes quadratic time."""
+    df = spark.createDataFrame([(1, head + again * 10**6 + tail)], "doc_id bigint, text string")
+    assert pii.with_entities(df, "text").select(F.size("_entities")).first()[0] == n
+
+
+def test_surrogates_of_small_formats(spark):
+    """One-letter addresses: 200 of 676 leave room to avoid the originals, 500 don't; all surrogates differ."""
+    every = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    for n in (200, 500):
+        own = every[:n]
+        df = spark.createDataFrame([(i, f"to {own[i % n]} now") for i in range(1000)], "doc_id bigint, text string")
+        got = {(own[r.doc_id % n], r.text.split()[1]) for r in pii.surrogates(df, key=pii.Key("k")).collect()}
+        assert len(got) == n == len({b for _, b in got}) and all(a != b and re.fullmatch("[a-z]@[a-z].co", b) for a, b in got)
+        assert n == 500 or not {b for _, b in got} & set(own)
+
+
+def test_surrogates_of_people(spark):
+    """One surname however it is addressed; titles without gender take that of other mentions; given names of one surname differ."""
+    names = ["Mr Smith", "Mr. Smith", "Dr Smith", "Mr. John Smith", "Dr. John Smith", "MR SMITH", "Dr Anna Smith", "Mrs Anna Smith", "Mr\nSmith"]
+    crowd = [f"Mr {a}{b} Miller" for a in ("Abel", "Bert", "Carl", "Dan", "Ed", "Frank", "Gus", "Hal") for b in ("", "o", "as", "in", "us")]
+    df = spark.createDataFrame(list(enumerate(names + crowd)), "doc_id bigint, text string")
+    got = [r.text for r in pii.surrogates(df).orderBy("doc_id").collect()]
+    smith = got[0].split()[1]
+    assert got[1] == f"Mr. {smith}" and got[2] == f"Dr {smith}" and got[5] == f"MR {smith.upper()}" and got[8] == f"Mr\n{smith}" and smith != "Smith"
+    assert got[3].removeprefix("Mr. ") == got[4].removeprefix("Dr. ") and got[6].removeprefix("Dr ") == got[7].removeprefix("Mrs ")
+    assert got[6].split()[1] in pii.NAMES["latin", "f"].split()
+    assert len(set(got[len(names) :])) == len(crowd) and all(set(x.split()[1].split("-")) <= set(pii.NAMES["latin", "m"].split()) for x in got[len(names) :])
+
+
+def test_surrogates_keep_checks(spark):
+    def iban_ok(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    mails = ["x" * 80 + "@y.com", "josé@bücher.example", "o'brien@x.com", "x@y.com-", "用户@例子.中国"]
+    texts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB83WEST12345698765432", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:DB8::1", "+49 170 1234567", "0.0.0.0", *mails]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in pii.surrogates(df).orderBy("doc_id").collect()]
+    assert got[0] == got[1].replace(" ", "") and [iban_ok(x) for x in got[:4]] == [True, True, True, False] and got[0][:2] == "DE" and len(got[1]) == len(texts[1])
+    assert re.fullmatch("[0-9a-f:]{39}", got[4]) and re.fullmatch("[0-9A-F]{4}:[0-9A-F]{3}::[0-9]", got[5]) and got[6].startswith("+49 ") and got[7] == "0.0.0.0"
+    for a, b in zip(mails, got[8:], strict=True):
+        assert len(a) == len(b) and a.split("@")[0] != b.split("@")[0] and a[-3:] == b[-3:] and "xxxx" not in b
+
+
+def test_surrogates_need_the_secret(spark):
+    df = spark.createDataFrame([(1, "a.person@example.com")], "doc_id bigint, text string")
+    assert pii.surrogates(df).first().text == pii.surrogates(df).first().text != pii.surrogates(df, key=pii.Key("a")).first().text
+    spark.conf.set("spark.stillpoint.pii.secret", "a")
+    try:
+        assert pii.session_key(spark) == pii.Key("a")
+    finally:
+        spark.conf.unset("spark.stillpoint.pii.secret")
+
+
 def test_surrogates_plan_is_native(spark, sf):
     plan = pii.op8_pii_surrogates(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
