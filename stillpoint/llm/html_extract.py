@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .textio import slices, texts_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+#: Quotes part values from markup only where they open a value; elsewhere, and where they aren't closed, they are characters.
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+{_VALUE}?+)*+)(?:>|\Z)", re.DOTALL)
+_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))")
 _HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml canvas xmp noembed noframes".split())
@@ -43,6 +45,11 @@ UNLIKELY = frozenset(
     "footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommendation recommendations recommended related replies "
     "reply respond rss search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags taboola toc toolbar tooltip widget widgets complementary alert gdpr login".split()
 )
+#: Words that say nothing about what stands in an element: with these alone beside it, a word of UNLIKELY marks an element.
+NEUTRAL = frozenset(
+    "area areas article articles bar bars block blocks body bottom box boxes btn btns button buttons card cards col column container content count elem element feed foot form group head heading holder icon icons inline inner item items label left "
+    "lg link links list lists main md menu middle module outer page panel pane popover post posts primary reader readers region right row secondary section segment side site slot small sm stories story text title top unit user users visitor wide wrap wrapper".split()
+)
 LIKELY = frozenset("article body content entry main post story text prose".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -66,13 +73,21 @@ class Block:
         self.text, self.link, self.tag = text, link, tag
 
 
-def _names(attrs: str) -> tuple[set[str], dict[str, str]]:
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    words = {w.lower() for k in ("class", "id", "role") for w in _WORDS.findall(found.get(k, ""))}
-    return words, found
+def _names(attrs: str) -> tuple[list[set[str]], dict[str, str]]:
+    """The words of each single class, id and role, and all attributes."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return [{w.lower() for w in _WORDS.findall(x)} for k in ("class", "id", "role") for x in found.get(k, "").split()], found
+
 
+def _unlikely(words: set[str]) -> bool:
+    """True for 'cookie-notice' and 'related-posts', not for 'notice-period', 'has-sidebar' or 'article-main-text'."""
+    marks = words & UNLIKELY
+    return bool(marks) and all(w in NEUTRAL or w.isdigit() for w in words - marks) and not (words & {"article", "main"} and not words & {"related", "comments", "comment"})
 
-def _beside(tag: str, attrs: str) -> bool:
+
+def _beside(tag: str, attrs: str, by_class: bool) -> bool:
     """True if an element stands beside the article by its name or its attributes."""
     if tag in DROP:
         return True
@@ -80,20 +95,28 @@ def _beside(tag: str, attrs: str) -> bool:
         return False
     if _HIDDEN_ATTR.search(attrs) and "hidden" in _ATTR.sub(" ", attrs).lower().split():
         return True
-    words, found = _names(attrs)
+    names, found = _names(attrs)
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE) or found.get("aria-hidden") == "true":
         return True
-    return bool(words & UNLIKELY) and not (words & {"article", "main"} and not words & {"related", "comments", "comment"})
+    return by_class and any(map(_unlikely, names))
 
 
 def _weight(attrs: str) -> float:
-    return 25.0 if attrs and _names(attrs)[0] & LIKELY else 0.0
+    return 25.0 if attrs and any(words & LIKELY for words in _names(attrs)[0]) else 0.0
+
 
+def parse(page: str, by_class: bool = True) -> Node:
+    """The tree of containers of a page. Unclosed, misnested and cut-off markup is taken as browsers take it, roughly.
 
-def parse(page: str) -> Node:
-    """The tree of containers of a page. Unclosed, misnested and cut-off markup is taken as browsers take it, roughly."""
+    Elements are looked up by name through their places on the stack, so that time is linear however deep they nest.
+    Without ``by_class``, classes, ids and roles mark nothing.
+    """
     root = Node("root", None)
-    stack: list[tuple[str, Node, int]] = []  # element, container that holds its content, and whether it is beside (1)
+    #: Element ("" when closed before those inside it), container that holds its content, and whether it is beside (1).
+    stack: list[tuple[str, Node, int]] = []
+    places: dict[str, list[int]] = {}  # of open elements, by name
+    blocks: list[int] = []  # of open elements of BLOCK
+    open_ended: set[str] = set()  # elements of RAW without an end tag from here on
     node, beside, link = root, 0, 0
     text: list[str] = []
     in_link = 0
@@ -112,12 +135,23 @@ def parse(page: str) -> Node:
         nonlocal node, beside, link
         while len(stack) > k:
             tag, at, out = stack.pop()
+            if not tag:
+                continue
+            places[tag].pop()
             if tag in BLOCK:
+                blocks.pop()
                 flush_if_open()
                 node = at
             beside -= out
             link -= tag == "a"
 
+    def last(names) -> int:
+        """The place of the innermost open element of one of the names, or -1."""
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
+
+    def no_block_after(k: int) -> bool:
+        return not blocks or blocks[-1] <= k
+
     def flush_if_open() -> None:
         if text:
             flush()
@@ -145,23 +179,28 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:  # an end tag
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _, _ in stack):
+            k = last((tag,))
+            if tag == "br" or tag == "p" and k < 0:
                 text.append(" ") if not beside else None
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if k < 0:
                 continue
-            if tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[k + 1 :]):
-                out = stack[k][2]  # </b> over a block boundary ends the inline element alone
+            if tag not in BLOCK and not no_block_after(k):
+                _, at, out = stack[k]  # </b> over a block boundary ends the inline element alone
                 beside -= out
                 link -= tag == "a"
-                del stack[k]
+                stack[k] = ("", at, 0)
+                places[tag].pop()
                 continue
             pop_to(k)
             continue
         attrs = m[3] or ""
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, pos)
+            end = None
+            if tag not in open_ended:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, pos)
+                if end is None:  # nor has any later one
+                    open_ended.add(tag)
             if tag in ("script", "style", "title", "textarea"):
                 pos = end.end() if end else n
             elif end and not attrs.rstrip().endswith("/"):
@@ -174,23 +213,22 @@ def parse(page: str) -> Node:
                 text.append(" ") if tag == "br" else None
             continue
         if tag in BLOCK:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if k >= 0 and not any(t in BLOCK for t, _, _ in stack[k + 1 :]):
+            k = last(("p",))
+            if k >= 0 and no_block_after(k):
                 pop_to(k)
             if tag in CLOSES:
                 shut, stop = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
-                        break
-                    if stack[i][0] in shut:
-                        pop_to(i)
-                        break
+                k = last(shut)
+                if k > last(stop):
+                    pop_to(k)
         elif tag == "a":  # links don't nest
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"), -1)
-            if k >= 0 and not any(t in BLOCK for t, _, _ in stack[k + 1 :]):
+            k = last(("a",))
+            if k >= 0 and no_block_after(k):
                 pop_to(k)
-        out = int(_beside(tag, attrs))
+        out = int(_beside(tag, attrs, by_class))
+        places.setdefault(tag, []).append(len(stack))
         if tag in BLOCK:
+            blocks.append(len(stack))
             flush_if_open()
             stack.append((tag, node, out))
             if not beside and not out:
@@ -246,10 +284,16 @@ def _score(root: Node) -> list[Node]:
 
 
 def main_text(page: str) -> str:
-    """The article's text: blocks in page order, joined by one newline; the empty text if there is none."""
+    """The article's text: blocks in page order, joined by one newline; the empty text if there is none.
+
+    Where classes, ids and roles would leave no text at all, they mark nothing.
+    """
     if not page:
         return ""
-    root = parse(page)
+    return _main_text(parse(page)) or _main_text(parse(page, by_class=False))
+
+
+def _main_text(root: Node) -> str:
     order = _score(root)
     named = [x for x in order if x.tag in ("article", "main") and x.size]
     inside = [x for x in order if x.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and x.score > 0]
@@ -257,13 +301,12 @@ def main_text(page: str) -> str:
         return "\n".join(b.text for b in _blocks(root) if b.link < len(b.text))
     best = max(inside, key=lambda x: x.score)
     # a named article that holds most of the best container's text is the article as a whole
-    for x in sorted(named, key=lambda x: x.tag != "article"):
-        up: Node | None = best
-        while up is not None and up is not x:
-            up = up.parent
-        if up is x:
-            best = x
-            break
+    above: set[int] = set()
+    up: Node | None = best
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    best = next((x for x in sorted(named, key=lambda x: x.tag != "article") if id(x) in above), best)
     # a wrapper around the best container alone stands for it
     while best.tag not in ("article", "main", "body") and best.parent is not None and best.parent.parent is not None and best.parent.tag not in ("body", "html") and best.parent.size == best.size:
         best = best.parent

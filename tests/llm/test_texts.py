@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -227,6 +229,74 @@ def test_html_raw_inside():
     assert got == "So x is, a chart shows."
 
 
+class Rival(HTMLParser):
+    """Another way to the same: a library's parser, and everything but what stands beside, by hand-picked names of this generator."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.beside, self.parts, self.open = 0, [[]], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.VOID:
+            self.parts[-1].append(" ") if tag == "br" else None
+            return
+        names = re.split("[ -]", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
+        out = tag in ("nav", "header", "footer", "aside", "form", "script", "style", "title", "noscript") or bool({"menu", "ad", "ads", "cookie", "comments", "comment", "sidebar", "related", "share", "banner", "promo", "newsletter"} & set(names))
+        self.open.append((tag, out))
+        self.beside += out
+        if tag in html_extract.BLOCK:
+            self.parts.append([])
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, out = self.open.pop()
+                self.beside -= out
+                if t in html_extract.BLOCK:
+                    self.parts.append([])
+                if t == tag:
+                    break
+
+    def handle_data(self, data):
+        if not self.beside:
+            self.parts[-1].append(data)
+
+
+def test_html_against_rival(spark):
+    """Every page of sf0.01; and the same pages without the element that names the article."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        rival = Rival()
+        rival.feed(r.html)
+        want = "\n".join(t for p in rival.parts if (t := " ".join("".join(p).split())))
+        assert html_extract.main_text(r.html) == want
+        assert html_extract.main_text(re.sub("(</?)(article|main)", r"\1div", r.html)) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p class=a'b>Hello, world</p><p>and 'more</p>", "Hello, world\nand 'more"),
+        (f"<div class='post search-engine-tips'>{BODY}</div>", None),
+        (f"<div id=x><p class=notice-period>One, month.</p><p class='share-price'>Up, by ten.</p>{BODY}</div>", "One, month.\nUp, by ten.\n"),
+        (f"<div class=widget>{BODY}</div>", None),
+        (f"<div class='page has-sidebar'><div class=sidebar><p>beside, it, is, and long enough to matter</p></div>{BODY}<div class='related-posts'><p>more, of, it</p></div></div>", None),
+        ("<p title=\"a>b\">x, y</p><p data-x = 'a\"b'>z</p>", "x, y\nz"),
+        (f"<body><svg><p>In.</p>{BODY}", "In.\n"),
+        ("<div><p>So <math><mi>x</mi></math>, yes.</p></div>", "So x, yes."),
+    ],
+)
+def test_html_keeps_the_article(page, want):
+    body = "First, a paragraph of some length, with commas, that reads like running text.\nSecond, and a bit more of it, so that it counts."
+    assert html_extract.main_text(page) == (body if want is None else want + body if BODY in page else want)
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<b>", "<p><b>", "<article>", "<option></option><b>", "<li><b>", "<a><div>", "<div class='x'", "<a b='", '<a b="x>', "<i><div></i>", "<svg>", "<!--", "<table><tr><td>", "</p>", "&amp"])
+def test_html_deep_nesting_is_linear(tag):
+    began = time.process_time()
+    html_extract.main_text(tag * 100_000 + "hello, world")
+    assert time.process_time() - began < 30  # squares of this number take minutes
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>hello, world</p>", 2), (2, "u", "<p>" + "long, text " * 50_000 + "</p>", 3)], "page_id bigint, url string, html string, text int")
     got = html_extract.extract_text(df).collect()
