@@ -2,9 +2,12 @@
 
 Method. Unit vectors are cut into two halves, each quantised with its own centroids; a pair of centroids is a cell. A
 query walks the cells by the sum of its two distances, with a heap over pairs of its sorted distances, until the cells
-hold enough entries; these are reranked by their exact cosine. Cells lie in blocks of bounded size (large cells are
-split), and a query goes to the blocks that hold one of its cells, so that no task sees more than a block of entries
-and a block of queries.
+hold enough entries; the sum at which it stops is its reach, and the entries of all cells within reach are reranked by
+their exact cosine. Centroids grow with the square root of the number of entries, the entries that a query reaches with
+its power 3/4: a smaller share of a larger table, at any size.
+
+Cells lie in blocks of bounded size (large cells are split), and a query goes, with its reach, to the blocks that hold
+one of its cells, so that no task sees more than a block of entries and a block of queries.
 """
 
 from __future__ import annotations
@@ -22,19 +25,26 @@ from ..scratch import Scratch
 
 @dataclass(frozen=True)
 class Index:
-    """Parameters of the index and of its search."""
+    """Parameters of the index and of its search, for n entries."""
 
-    #: Centroids of a half.
-    centroids: int = 64
+    #: Centroids of a half: fineness * sqrt(n), ``most`` at most; the driver holds ``most`` ** 2 counts.
+    fineness: float = 4.0
+    most: int = 1024
     #: Bound of the sample that the centroids are fitted on; all vectors are indexed.
     sample: int = 20_000
     rounds: int = 12
-    #: Entries that a query's cells hold, at least: a share of all entries and a number.
-    share: float = 0.5
-    entries: int = 4096
+    #: Entries that a query's cells hold, at least: reach * n ** power.
+    reach: float = 2.5
+    power: float = 0.75
     #: Entries of a block, and queries that are worked off together.
     block: int = 4096
-    queries: int = 1024
+    queries: int = 256
+
+    def centroids(self, n: int, sampled: int) -> int:
+        return max(1, min(self.most, int(self.fineness * n**0.5), sampled // 4))
+
+    def entries(self, n: int) -> int:
+        return int(np.ceil(self.reach * n**self.power))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
@@ -42,11 +52,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     rng = np.random.RandomState(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        d = ((c**2).sum(1)[None] - 2 * x @ c.T) + (x**2).sum(1)[:, None]
-        at = d.argmin(1)
+        at, gap = np.empty(len(x), np.int64), np.empty(len(x))
+        for a in range(0, len(x), 2048):
+            d = distances(x[a : a + 2048], c)
+            at[a : a + 2048], gap[a : a + 2048] = d.argmin(1), d.min(1)
         n = np.bincount(at, minlength=k)
         c = np.stack([np.bincount(at, weights=x[:, j], minlength=k) for j in range(x.shape[1])], 1) / np.maximum(n, 1)[:, None]
-        far = np.argsort(-d.min(1), kind="stable")
+        far = np.argsort(-gap, kind="stable")
         for j, i in enumerate(np.flatnonzero(n == 0)):
             c[i] = x[far[j % len(x)]]
     return c
@@ -61,38 +73,38 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c**2).sum(1)[None] - 2 * x @ c.T + (x**2).sum(1)[:, None]
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int) -> list[int]:
-    """Cells by summed distance, until they hold ``need`` entries: the multi-sequence walk, with a heap."""
+def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int) -> tuple[list[int], float]:
+    """Cells by summed distance, until they hold ``need`` entries, and the last one's sum: the multi-sequence walk, with a heap.
+
+    The heap has one pair for each opened row, its next; a row is opened when the one before it starts.
+    """
     k = len(d2)
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    heap, out, got = [(s1[0] + s2[0], 0, 0)], [], 0
+    heap, out, got, total = [(s1[0] + s2[0], 0, 0)], [], 0, -np.inf
+    replace, push, pop = heapq.heapreplace, heapq.heappush, heapq.heappop
     while heap and got < need:
-        _, i, j = heapq.heappop(heap)
+        total, i, j = heap[0]
         cell = o1[i] * k + o2[j]
-        if held[cell]:
+        n = held[cell]
+        if n:
             out.append(cell)
-            got += int(held[cell])
-        # (i, j) follows (i, j-1) in its row, and opens the next row at its start
+            got += int(n)
         if j + 1 < k:
-            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+            replace(heap, (s1[i] + s2[j + 1], i, j + 1))
+        else:
+            pop(heap)
         if j == 0 and i + 1 < len(o1):
-            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-    return out
+            push(heap, (s1[i + 1] + s2[0], i + 1, 0))
+    return out, total
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>) of the vectors that take part: a row's id and components known and finite, not all zero.
-
-    Of rows of one id the least vector stays. Vectors whose length isn't the most frequent one (of these the largest)
-    take no part.
-    """
+    """(id, v array<double>) of the vectors that take part: a row's id and components known and finite, not all zero."""
     v = F.transform(df[vec_col], lambda x: x.cast("double"))
     rows = df.select(df[id_col].cast("bigint").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fine).groupBy("id").agg(F.min("v").alias("v"))
-    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    return rows.where(F.size("v") == (common[0]["dim"] if common else 0))
+    return rows.where(fine)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,7 +117,7 @@ class Blocks:
     """Which block a cell's entries are in: cells in order, cut at ``size`` entries; a larger cell takes several blocks."""
 
     def __init__(self, held: np.ndarray, size: int):
-        self.first, self.parts = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)
+        self.first, self.parts = np.zeros(len(held), np.int32), np.ones(len(held), np.int32)
         block, filled = 0, 0
         for cell in np.flatnonzero(held):
             n = int(held[cell])
@@ -119,21 +131,82 @@ class Blocks:
         self.count = block + 1
 
 
+class Reranker:
+    """The k best of a block's entries within reach, for batches of queries; every entry that could tie among them is scored exactly."""
+
+    def __init__(self, parts: list[np.ndarray], ids: np.ndarray, x: np.ndarray, cells: np.ndarray, k: int):
+        self.parts, self.ids, self.x, self.k = parts, ids, x, k
+        self.norm = np.sqrt((x * x).sum(1))
+        self.unit = x / self.norm[:, None]
+        self.at = np.divmod(cells, len(parts[1]))
+
+    def __call__(self, waiting: list[tuple]) -> tuple[list, list, list]:
+        out: tuple[list, list, list] = ([], [], [])
+        asked, v, reach = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting]), np.array([w[2] for w in waiting])
+        length = np.sqrt((v * v).sum(1))
+        first, second = (distances(h, p) for h, p in zip(halves(v), self.parts, strict=True))
+        # the walk's sums, up to rounding
+        rough = (v / length[:, None]) @ self.unit.T
+        rough[(first[:, self.at[0]] + second[:, self.at[1]] > reach[:, None] + 1e-9) | (asked[:, None] == self.ids[None])] = -np.inf
+        for i in range(len(waiting)):
+            row = rough[i]
+            pick = np.flatnonzero(row > -np.inf)
+            if len(pick) > self.k:
+                # rows of one id are listed once, by the nearest: they may not push others out
+                best = _kth_id(row[pick], self.ids[pick], self.k)
+                pick = pick[row[pick] >= best - 1e-9]
+            if not len(pick):
+                continue
+            score = (self.x[pick] * v[i]).sum(1) / (self.norm[pick] * length[i])
+            order = np.lexsort((self.ids[pick], -score))
+            order = order[np.sort(np.unique(self.ids[pick[order]], return_index=True)[1])][: self.k]
+            out[0].extend([int(asked[i])] * len(order))
+            out[1].extend(self.ids[pick[order]].tolist())
+            out[2].extend(score[order].tolist())
+        return out
+
+
+def _kth_id(scores: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The score of the k-th different id by score (of the last one, if there are fewer)."""
+    take = k
+    while True:
+        top = np.argpartition(-scores, take - 1)[:take] if take < len(scores) else np.arange(len(scores))
+        best: dict[int, float] = {}
+        for i in top:
+            best[int(ids[i])] = max(best.get(int(ids[i]), -np.inf), float(scores[i]))
+        if len(best) >= k or take >= len(scores):
+            return sorted(best.values(), reverse=True)[: min(k, len(best))][-1]
+        take = min(len(scores), 4 * take)
+
+
 def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, index: Index = Index()) -> DataFrame:
-    """(query_id, rank, id, score): each query's k nearest entries found, largest cosine first, ties to the smaller id.
+    """(query_id, rank, id, score): each query's k nearest ids found, largest cosine first, ties to the smaller id.
 
-    ``is_query`` is a condition on the column ``id``. An entry is never its own id's neighbour. Null, empty, zero and
-    not finite vectors and those of another length than most take no part; rows of one id count once, by their least
-    vector; other columns are not read; an empty table gives no rows. The driver holds the centroids, fitted on a
-    bounded sample, and one count a cell.
+    ``is_query`` is a condition on the column ``id``. Every row is an entry, and an id is as near as the nearest of its
+    rows, those of a query's own id left out. Null ids and null, empty, zero and not finite vectors take no part; vectors
+    are compared with those of their own length, each length by an index of its own; other columns are not read; an empty
+    table gives no rows. The driver holds the centroids, fitted on a bounded sample, and one count a cell.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
     rows = scratch.save(usable(df, id_col, vec_col), "vectors")
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(index.sample).collect()])
-    if not len(sample):
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dim").collect()
+    found = [_search(rows.where(F.size("v") == r["dim"]), r["n"], is_query, k, index, scratch) for r in lengths]
+    if not found:
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
-    size = min(index.centroids, max(1, int(len(sample) ** 0.5)))
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    best = every.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _search(rows: DataFrame, n: int, is_query, k: int, index: Index, scratch: Scratch) -> DataFrame:
+    """(query_id, id, score): the k best of each block within each query's reach, for ``n`` vectors of one length."""
+    spark = rows.sparkSession
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(index.sample).collect()])
+    size = index.centroids(n, len(sample))
     parts = [kmeans(h, size, index.rounds) if h.shape[1] else np.zeros((1, 0)) for h in halves(sample)]
     shared = spark.sparkContext.broadcast(parts)
     n2 = len(parts[1])
@@ -145,32 +218,32 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a * n2 + c, pa.int32())], ["id", "v", "cell"])
 
     entries = scratch.save(rows.mapInArrow(assign, "id bigint, v array<double>, cell int"), "entries")
-    held = np.zeros(len(parts[0]) * n2, np.int64)
-    for r in entries.groupBy("cell").count().collect():
-        held[r["cell"]] = r["count"]
+    counts = entries.groupBy("cell").count().toArrow()
+    held = np.zeros(len(parts[0]) * n2, np.int32)
+    held[counts.column("cell").to_numpy()] = counts.column("count").to_numpy()
     blocks = Blocks(held, index.block)
-    need = max(index.entries, int(np.ceil(index.share * held.sum())))
+    need = index.entries(n)
     plan = spark.sparkContext.broadcast((held, blocks.first, blocks.parts))
 
     def route(batches):
-        """Queries with the cells they visit, once for each block that holds one of these."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1))
-            d1, d2 = (distances(h, p) for h, p in zip(halves(x), shared.value, strict=True))
+        """Queries with their reach, once for each block that holds a cell within it."""
+        for whole in batches:
             held, first, many = plan.value
-            at, to, cells = [], [], []
-            for i in range(b.num_rows):
-                own = np.sort(np.array(walk(d1[i], d2[i], held, need), np.int32))
-                for f in np.unique(first[own]):
-                    mine = own[first[own] == f]
-                    for part in range(int(many[mine].max())):
-                        at.append(i)
-                        to.append(int(f) + part)
-                        cells.append(mine)
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(cells, pa.list_(pa.int32()))], ["block", "id", "v", "cells"])
+            counted = held.tolist()
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                d1, d2 = (distances(h, p) for h, p in zip(halves(_matrix(b.column(1))), shared.value, strict=True))
+                at, to, reach = [], [], []
+                for i in range(b.num_rows):
+                    cells, far = walk(d1[i], d2[i], counted, need)
+                    own = np.array(cells, np.int64)
+                    wide = own[many[own] > 1]
+                    blocks_of = np.unique(np.concatenate([first[own], *(first[c] + np.arange(many[c], dtype=np.int32) for c in wide)]))
+                    at += [i] * len(blocks_of)
+                    to.append(blocks_of)
+                    reach += [far] * len(blocks_of)
+                take = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(reach, pa.float64())], ["block", "id", "v", "reach"])
 
     def deal(batches):
         for b in batches:
@@ -179,57 +252,40 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
             block = first[cell] + (ids * 2654435761 >> 7) % many[cell]
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), b.column(0), b.column(1), b.column(2)], ["block", "id", "v", "cell"])
 
-    asked = entries.where(is_query).select("id", "v").repartition(max(12, spark.sparkContext.defaultParallelism), "id").mapInArrow(route, "block int, id bigint, v array<double>, cells array<int>")
+    asked = entries.where(is_query).select("id", "v").repartition(max(12, spark.sparkContext.defaultParallelism, n // 1_000_000), "id").mapInArrow(route, "block int, id bigint, v array<double>, reach double")
     stored = entries.mapInArrow(deal, "block int, id bigint, v array<double>, cell int")
-    both = stored.select("block", "id", "v", "cell", F.lit(None).cast("array<int>").alias("cells")).union(asked.select("block", "id", "v", F.lit(-1).alias("cell"), "cells"))
+    both = stored.select("block", "id", "v", "cell", F.lit(None).cast("double").alias("reach")).union(asked.select("block", "id", "v", F.lit(-1).alias("cell"), "reach"))
 
     def rerank(batches):
         block, ids, vectors, cells = None, [], [], []
+        made: Reranker | None = None
         waiting: list[tuple] = []
+
+        def emit():
+            nonlocal made
+            if ids and waiting:
+                made = made or Reranker(shared.value, np.array(ids), np.array(vectors), np.array(cells), k)
+                a, b, c = made(waiting)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "id", "score"])
+
         for b in batches:
-            for k0, i, c, own, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), _matrix(b.column(2)), strict=True):
+            for k0, i, c, far, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), _matrix(b.column(2)), strict=True):
                 if k0 != block:
-                    if waiting:
-                        yield nearest(ids, vectors, cells, waiting)
-                    block, ids, vectors, cells, waiting = k0, [], [], [], []
-                if own is None:
+                    yield from emit()
+                    block, ids, vectors, cells, waiting, made = k0, [], [], [], [], None
+                if far is None:
                     ids.append(i)
                     vectors.append(v.copy())
                     cells.append(c)
                 else:
-                    waiting.append((i, v.copy(), own))
+                    waiting.append((i, v.copy(), far))
                     if len(waiting) == index.queries:
-                        yield nearest(ids, vectors, cells, waiting)
+                        yield from emit()
                         waiting = []
-        if waiting:
-            yield nearest(ids, vectors, cells, waiting)
+        yield from emit()
 
-    def nearest(ids, vectors, cells, waiting):
-        """The k best of a block for each query, with every entry that could tie among them scored exactly."""
-        out: tuple[list, list, list] = ([], [], [])
-        if ids:
-            own, x, at = np.array(ids), np.array(vectors), np.array(cells)
-            norm = np.sqrt((x * x).sum(1))
-            unit = x / norm[:, None]
-            for i, v, visited in waiting:
-                pick = np.flatnonzero(np.isin(at, visited) & (own != i))
-                if not len(pick):
-                    continue
-                length = np.sqrt((v * v).sum())
-                rough = unit[pick] @ (v / length)
-                if len(pick) > k:
-                    pick = pick[rough >= np.partition(rough, len(pick) - k)[len(pick) - k] - 1e-9]
-                score = (x[pick] * v).sum(1) / (norm[pick] * length)
-                best = np.lexsort((own[pick], -score))[:k]
-                out[0].extend([i] * len(best))
-                out[1].extend(own[pick[best]].tolist())
-                out[2].extend(score[best].tolist())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
-
-    tiles = both.repartition(max(blocks.count, spark.sparkContext.defaultParallelism), "block").sortWithinPartitions("block", F.col("cells").isNotNull())
-    found = tiles.mapInArrow(rerank, "query_id bigint, id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    tiles = both.repartition(max(blocks.count, spark.sparkContext.defaultParallelism), "block").sortWithinPartitions("block", F.col("reach").isNotNull())
+    return tiles.mapInArrow(rerank, "query_id bigint, id bigint, score double")
 
 
 def op3_approximate_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

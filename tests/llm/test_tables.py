@@ -125,12 +125,14 @@ def brute_nearest(ids, x, q, k=5):
     return ids[order].tolist(), s[order].tolist()
 
 
-def test_nearest_recall(spark, sf):
-    """With few entries visited, recall stays over 0.9, and every score is exact."""
-    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+@pytest.mark.parametrize("table, index", [("/root/testdata/sf0.1", ann.Index(block=256, queries=7)), ("/root/testdata/check_s", ann.Index())])
+def test_nearest_recall(spark, table, index):
+    """At two sizes, with a share of the entries visited that falls, recall stays over 0.9, and every score is exact."""
+    df = spark.read.parquet(f"{table}/embeddings.parquet")
+    t = df.toPandas().dropna().sort_values("vec_id")
     ids, x = t.vec_id.to_numpy(), np.stack(t.embedding).astype(np.float64)
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = ann.search(df, F.col("id") % 50 == 0, index=ann.Index(entries=64, share=0.5, block=256, queries=7)).toPandas()
+    assert index.entries(len(ids)) < (0.38 if len(ids) < 3000 else 0.25) * len(ids)
+    got = ann.search(df, F.col("id") % 50 == 0, index=index).toPandas()
     hit = total = 0
     for q, rows in got.groupby("query_id"):
         rows = rows.sort_values("rank")
@@ -140,9 +142,28 @@ def test_nearest_recall(spark, sf):
         total += 5
         exact = dict(zip(*brute_nearest(ids, x, q, len(ids) - 1), strict=True))
         assert np.allclose(rows.score, [exact[i] for i in rows.vec_id], atol=1e-12)
+    print(f"recall {hit / total:.3f} of {len(ids)} vectors, {index.entries(len(ids))} visited")
     assert total == 5 * (ids % 50 == 0).sum() and hit / total >= 0.9
 
 
+def test_nearest_with_all_in_reach(spark):
+    """With all entries in reach the search is exact."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    t = df.toPandas().sort_values("vec_id")
+    ids, x = t.vec_id.to_numpy(), np.stack(t.embedding).astype(np.float64)
+    got = ann.search(df, F.col("id") % 50 == 0, index=ann.Index(reach=1e9, block=32, queries=3)).toPandas()
+    for q, rows in got.groupby("query_id"):
+        assert rows.sort_values("rank").vec_id.tolist() == brute_nearest(ids, x, q)[0]
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Every row is an entry; an id is as near as its nearest row; lengths are searched each on its own."""
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.5]), (2, [-1.0, 0.0]), (3, [0.0, 1.0]), (100, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 1.0]), (5, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in ann.search(df, F.col("id") % 50 == 0, index=ann.Index(reach=1e9)).collect()}
+    assert got == {(50, 1): (1, 0.995037), (50, 2): (2, 0.894427), (50, 3): (3, 0.0), (100, 1): (4, 0.707107)}
+
+
 def test_nearest_ties_and_odd_vectors(spark):
     v = [1.0, 0.0, 0.5, 0.5]
     rows = [(i, v) for i in range(0, 60)] + [(100, None), (150, []), (200, [0.0] * 4), (250, [float("nan"), 1.0, 0.0, 0.0]), (300, [1.0, None, 0.0, 0.0]), (350, [1.0, 2.0]), (None, v), (400, [0.0, 1.0, 0.0, 0.0]), (400, [0.0, 1.0, 0.0, 0.0])]
@@ -160,9 +181,11 @@ def test_nearest_ties_and_odd_vectors(spark):
 def test_walk_visits_cells_by_distance():
     rng = np.random.RandomState(3)
     d1, d2, held = rng.rand(6), rng.rand(5), rng.randint(0, 4, 30)
-    got = ann.walk(d1, d2, held, int(held.sum()))
+    got, far = ann.walk(d1, d2, held, int(held.sum()))
     total = (d1[:, None] + d2[None, :]).reshape(-1)
-    assert got == [c for c in np.argsort(total) if held[c]]
+    assert got == [c for c in np.argsort(total) if held[c]] and far == total[got[-1]]
+    part, far = ann.walk(d1, d2, held, 9)
+    assert part == got[: len(part)] and held[part].sum() >= 9 > held[part[:-1]].sum() and far == total[part[-1]]
 
 
 # Packing
