@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textio import slices, texts_of
+from .textio import CACHE_BYTES, slices, texts_of
 
 #: Letters and numbers of the characters up to U+00FF, after lower-casing.
 _L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -35,9 +35,13 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Encoder and decoder for one file of kind BPE with word ends."""
+    """Encoder and decoder for one file of kind BPE with word ends.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    It forgets the words that it knows before a batch if they are more than ``limit``, or if they and their ids have more
+    than ``most_bytes``.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000, most_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -59,7 +63,7 @@ class WordBpe:
         keys, into = keys[order], into[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))  # the first of equal pairs has the lower rank
         self._keys, self._into, self._rank = keys[first], into[first], order[first].astype(np.int32)
-        self.limit = limit
+        self.limit, self.most_bytes, self._bytes = limit, most_bytes, 0
         #: Known words with their ids as little-endian unsigned 32-bit numbers; special tokens are always known.
         self.ids: dict[str, bytes] = {}
         self._derived: list[tuple[dict, object]] = []
@@ -67,6 +71,7 @@ class WordBpe:
 
     def _reset(self) -> None:
         self.ids.clear()
+        self._bytes = 0
         self.ids.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
         for table, of in self._derived:
             table.clear()
@@ -105,13 +110,14 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, all in one go."""
-        if len(self.ids) > self.limit:
+        if len(self.ids) > self.limit or self._bytes > self.most_bytes:
             self._reset()
         new = list(words - self.ids.keys())
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             known = dict(zip(part, self.merge(part), strict=True))
             self.ids.update(known)
+            self._bytes += sum(map(len, known)) + sum(map(len, known.values()))
             for table, of in self._derived:
                 table.update((w, of(ids)) for w, ids in known.items())
 
@@ -212,7 +218,11 @@ def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """(id, text) from lists of ids; a null list is an empty one."""
+    """(id, text) from lists of ids.
+
+    A null list is an empty one, of the empty text; a null id stays null; repeated rows give repeated rows; other columns
+    are not read; an empty table gives no rows. Null items and ids that the file doesn't have are an error.
+    """
     path = path or default_path()
     id_type = df.select(id_col).schema[0].dataType.simpleString()
 

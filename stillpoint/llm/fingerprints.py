@@ -108,8 +108,9 @@ def with_next_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Deal rows to parts by ranges of the id, each part also borrowing the first row of the part that follows.
 
     Returns (part, last, id, text), sorted within parts by id downwards; ``last`` marks a borrowed row. What the driver
-    holds are one bound and one id for each part, ``most_parts`` at most. Rows of null id come last; equal ids are
-    ordered by their text. The text is shuffled once.
+    holds are one bound and one id for each part, ``most_parts`` at most: up to 160 GB of text a part has about
+    ``bytes_per_part``, beyond that the parts grow (100 TB: 5 GB each, which the task reads as a stream, sorted on disk).
+    Rows of null id come last; equal ids are ordered by their text. The text is shuffled once.
     """
     rows = df.select(F.coalesce(df[id_col].cast("bigint"), F.lit(-(2**63))).alias("k"), df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     total = rows.select(F.sum(F.octet_length("text") + 64)).first()[0] or 0

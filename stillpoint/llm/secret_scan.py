@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,14 +104,22 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     if longest >= 16:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if longest >= 24:
-        base = list(found)
+        # the farthest end of the base spans up to each start tells whether one of them covers a window
+        starts = sorted((a, b) for a, b, _ in found)
+        ends = list(accumulate((b for _, b in starts), max))
+        begins = [a for a, _ in starts]
+
+        def covered(a: int, b: int) -> bool:
+            k = bisect_right(begins, a)
+            return k > 0 and ends[k - 1] >= b
+
         for cls in CLASSES:
             for m in cls.run.finditer(text):
                 if allowed(m[0]):
                     continue
                 for a, b in entropy_windows(m[0], cls.width, cls.bits):
                     a, b = a + m.start(), b + m.start()
-                    if not allowed(text[a:b]) and not any(x <= a and b <= y for x, y, _ in base):
+                    if not allowed(text[a:b]) and not covered(a, b):
                         found.append((a, b, cls.kind))
     if len(found) > 1:
         found.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
@@ -145,7 +155,8 @@ MARK = "[SECRET]"
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """The same rows and columns with every span in ``text_col`` replaced by ``mark``; null text stays null.
 
-    Overlapping spans are replaced once.
+    Overlapping spans are replaced once. Other columns, null ids and repeated rows pass as they are, whatever their names
+    (``text_col`` must name one column); an empty table gives no rows.
     """
     at = df.columns.index(text_col)
 
@@ -160,9 +171,11 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = MARK) -> D
         return t if not parts else "".join(parts) + t[end:]
 
     def run(batches):
-        for b in batches:
-            new = pa.array([clean(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+        for whole in batches:
+            names = [f"c{i}" if i != at else "text" for i in range(whole.num_columns)]  # names may clash
+            for b in slices([pa.RecordBatch.from_arrays(whole.columns, names)], "text"):
+                new = pa.array([clean(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], whole.schema.names)
 
     return df.mapInArrow(run, df.schema)
 

@@ -48,18 +48,25 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Bytes of the keys and values of a worker's cache, beside its bound on their number.
+CACHE_BYTES = 16 << 20
+
+
 class Bounded(dict):
-    """A cache computed on a miss and emptied when it holds ``limit`` entries."""
+    """A cache of bytes computed on a miss, emptied when it holds ``limit`` entries or ``most_bytes`` of keys."""
 
-    def __init__(self, compute, limit: int = 200_000):
+    def __init__(self, compute, limit: int = 200_000, most_bytes: int = CACHE_BYTES):
         super().__init__()
-        self._compute, self._limit = compute, limit
+        self._compute, self._limit, self._most, self._bytes = compute, limit, most_bytes, 0
 
     def __missing__(self, key):
         value = self._compute(key)
-        if len(self) >= self._limit:
+        self._bytes += len(key)
+        if len(self) >= self._limit or self._bytes > self._most:
             self.clear()
-        self[key] = value
+            self._bytes = len(key)
+        if self._bytes <= self._most:
+            self[key] = value
         return value
 
 

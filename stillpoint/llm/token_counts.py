@@ -16,23 +16,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import slices, texts_of
+from .textio import CACHE_BYTES, slices, texts_of
 
 _PARTS = re.compile(r" *[^ ]+| +$")
 _SPACE = "▁"
 
 
 class PieceCounter:
-    """Counts tokens with one model; ``batch_bytes`` bounds a call of the library."""
+    """Counts tokens with one model; ``batch_bytes`` bounds a call of the library (a longer part is one of its own).
 
-    def __init__(self, path: str, limit: int = 300_000, batch_bytes: int = 1 << 20):
+    It forgets the parts that it knows before a batch if they are more than ``limit`` or have more than ``most_bytes``.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000, batch_bytes: int = 1 << 20, most_bytes: int = CACHE_BYTES):
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         #: Parts may be encoded alone only where no piece crosses their boundary and a lone part gets its leading space back.
         self.safe = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces) and self._model.encode("a", out_type=str)[0].startswith(_SPACE) and self._model.encode("a  a ") != self._model.encode("a a")
-        self.limit, self.batch_bytes = limit, batch_bytes
+        self.limit, self.batch_bytes, self.most_bytes, self._bytes = limit, batch_bytes, most_bytes, 0
         #: A part without text is one last space, which the library's own leading space would hide.
         self._lone = len(self._model.encode("a ")) - len(self._model.encode("a"))
         self.known: dict[str, int] = {"": self._lone}
@@ -50,17 +53,19 @@ class PieceCounter:
         return text.split(" ")
 
     def learn(self, parts) -> None:
-        if len(self.known) > self.limit:
-            self.known = {"": self._lone}
+        if len(self.known) > self.limit or self._bytes > self.most_bytes:
+            self.known, self._bytes = {"": self._lone}, 0
         batch: list[str] = []
         size = 0
         for p in parts:
             if p not in self.known:
-                batch.append(p)
-                size += len(p) + 16
-                if size >= self.batch_bytes:
+                own = len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))
+                if batch and size + own > self.batch_bytes:
                     self._encode(batch)
                     batch, size = [], 0
+                batch.append(p)
+                size += own + 16
+                self._bytes += own
         self._encode(batch)
 
     def _encode(self, batch: list[str]) -> None:
