@@ -39,8 +39,11 @@ class Rule:
     sketch_bits: int = 18
     #: Largest group whose pairs are listed one by one; larger ones go to tiles.
     pairs_up_to: int = 6
-    #: Texts in a tile.
-    block: int = 2048
+    #: Texts in a part of a large group, and in the tiles where what the parts leave apart is compared.
+    block: int = 512
+    wide: int = 2048
+    #: Keys with more postings than this, and than a 100,000th of all shingles, never meet in one task.
+    heavy: int = 65_536
     #: Texts of a large group that are put into each of its tiles.
     pivots: int = 8
 
@@ -48,6 +51,10 @@ class Rule:
         if not 50 <= self.percent <= 100 or self.shingle < 1 or self.shingle > 6:
             raise ValueError("percent must be 50 to 100 and shingle 1 to 6")
 
+    def heavy_from(self, counters: np.ndarray) -> int:
+        """Postings from which a key counts as heavy; at most 100,000 keys have so many."""
+        return max(self.heavy, int(counters.sum()) // 100_000) + 1
+
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
 
@@ -183,7 +190,11 @@ def digest(u: np.ndarray) -> tuple[int, int]:
 
 
 def set_records(docs: DataFrame, rule: Rule, counters: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, h1, h2, keys, bits) of every row: set size, 128 bits that stand for the set, first shingles, bitmap."""
+    """(id, n, h1, h2, keys, maybe_heavy, bits) of every row: set size, 128 bits that stand for the set, first shingles, bitmap.
+
+    The first shingles whose counters reach ``heavy_from`` are in ``maybe_heavy``, all others in ``keys``.
+    """
+    heavy = rule.heavy_from(counters)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counters, (1 << 24) - 1).astype(np.uint64))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -193,7 +204,7 @@ def set_records(docs: DataFrame, rule: Rule, counters: np.ndarray, id_col: str =
         for b in slices(batches, "text"):
             h, owner = words.shingles(texts_of(b), rule.shingle)
             cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            n, h1, h2, keys, bits = [], [], [], [], []
+            n, h1, h2, keys, maybe_heavy, bits = [], [], [], [], [], []
             for i in range(b.num_rows):
                 u = np.unique(h[cuts[i] : cuts[i + 1]])
                 n.append(len(u))
@@ -202,23 +213,27 @@ def set_records(docs: DataFrame, rule: Rule, counters: np.ndarray, id_col: str =
                 h2.append(y)
                 if len(u):
                     order = np.argsort((counts[(u >> shift).astype(np.int64)] << np.uint64(40)) | (u >> np.uint64(24)), kind="stable")
-                    keys.append(u[order[: rule.prefix(len(u))]].view(np.int64))
+                    first = u[order[: rule.prefix(len(u))]]
+                    often = counts[(first >> shift).astype(np.int64)] >= min(heavy, (1 << 24) - 1)
+                    keys.append(first[~often].view(np.int64))
+                    maybe_heavy.append(first[often].view(np.int64))
                     bits.append(bitmap(u, width_of(len(u))).tobytes())
                 else:
                     keys.append(np.zeros(0, np.int64))
+                    maybe_heavy.append(np.zeros(0, np.int64))
                     bits.append(b"")
-            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "h1", "h2", "keys", "bits"])
+            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, maybe_heavy)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "h1", "h2", "keys", "maybe_heavy", "bits"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n bigint, h1 bigint, h2 bigint, keys array<bigint>, bits binary")
+    return rows.mapInArrow(run, f"id {id_type}, n bigint, h1 bigint, h2 bigint, keys array<bigint>, maybe_heavy array<bigint>, bits binary")
 
 
 def groups_of(entries: DataFrame, rule: Rule) -> DataFrame:
     """From (key, id, n), dealt by key: pairs (g null, a, na, b, nb) of small groups, members (g, size, a, na) of others.
 
     Keys of one text are dropped. Groups of the same members are one group, known by a hash of them. A task holds 24
-    bytes for each of its entries.
+    bytes for each of its entries; heavy keys aren't among them (see heavy_groups).
     """
 
     def run(batches):
@@ -264,6 +279,20 @@ def groups_of(entries: DataFrame, rule: Rule) -> DataFrame:
     return entries.mapInArrow(run, "g bigint, size bigint, a bigint, na bigint, b bigint, nb bigint")
 
 
+def heavy_groups(chosen: DataFrame, rule: Rule, heavy: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Splits the postings of ``maybe_heavy``: entries (key, id, n) of keys that aren't heavy, members (g, size, id, n) of those that are.
+
+    Counted by partial sums and joined to a broadcast list of 100,000 keys at most, so that no key's postings meet in one
+    task. Of heavy keys with the same texts (by number and hash) one stays.
+    """
+    entries = chosen.select(F.explode("maybe_heavy").alias("key"), F.col("node").alias("id"), "n")
+    counts = entries.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("_who")).where(F.col("size") >= heavy)
+    counts = scratch.save(counts, "heavy")
+    one = counts.groupBy("size", "_who").agg(F.min("key").alias("key"))
+    members = entries.join(F.broadcast(one), "key").select(F.xxhash64("key").alias("g"), "size", "id", "n")
+    return entries.join(F.broadcast(counts.select("key")), "key", "left_anti"), members
+
+
 def _tiles(rows: DataFrame, rule: Rule, exact: bool, across: bool) -> DataFrame:
     """Links (a, b) within tiles of (t1, t2, id, n, data, label, mine); a tile is worked off as one."""
 
@@ -304,30 +333,37 @@ def link_groups(members: DataFrame, rule: Rule, exact: bool, scratch: Scratch) -
     """Links (a, b) that connect within each group what is linked in it; members: (g, size, id, n, data).
 
     A group over ``block`` texts is split by a hash of the id, its pivots added to each part. What the parts and the
-    pivots leave apart from the group's largest component is then compared with the whole group, tile by tile.
+    pivots leave apart from the group's largest component is then compared with the texts of the whole group whose
+    size allows a link, tile by tile: sizes lie in bands, and only texts of the same band or of the next ones can link.
     """
     blocks = F.ceil(F.col("size") / rule.block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    place = Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
+    order = F.xxhash64("id"), F.col("id")
     plain = F.lit(0).cast("bigint").alias("label"), F.lit(False).alias("mine")
     small = members.where(F.col("size") <= rule.block)
     large = scratch.save(members.where(F.col("size") > rule.block), "large")
     links = _tiles(small.select(F.col("g").alias("t1"), F.lit(0).alias("t2"), "id", "n", "data", *plain), rule, exact, False)
     if large.isEmpty():
         return links
-    pivots = large.select("g", "size", "id").withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= rule.pivots).select("g", "id")
+    # the least of the parts' least, so that a group isn't ranked in one task
+    pivots = large.select("g", "id", own.alias("_part")).withColumn("_p", F.row_number().over(Window.partitionBy("g", "_part").orderBy(*order))).where(F.col("_p") <= rule.pivots)
+    pivots = pivots.withColumn("_p", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("_p") <= rule.pivots).select("g", "id")
     spread = large.join(pivots, ["g", "id"]).withColumn("t2", F.explode(F.sequence(F.lit(0), blocks - 1)))
     parts = large.withColumn("t2", own).unionByName(spread).select(F.col("g").alias("t1"), "t2", "id", "n", "data", *plain)
     first = scratch.save(_tiles(parts, rule, exact, False), "links")
     label = components(first, scratch)
     told = scratch.save(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "told")
     most = told.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    split = most.where("c < all").select("g", "main", (F.ceil((F.col("all") - F.col("c")) / rule.block)).cast("int").alias("lefts"))
-    there = told.join(split, "g")
+    split = most.where("c < all").select("g", "main", (F.ceil((F.col("all") - F.col("c")) / rule.wide)).cast("int").alias("lefts"))
+    # with sizes r <= s linked, 100 r >= percent s: their bands differ by one at most
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / rule.percent)) + 1e-9).cast("int") if rule.percent < 100 else F.col("n").cast("int")
+    there = told.join(split, "g").withColumn("band", band)
+    bands = there.groupBy("g", "band").agg(F.ceil(F.count("*") / rule.wide).cast("int").alias("blocks"))
     left = F.pmod(F.xxhash64("id"), F.col("lefts")).cast("int")
-    rest = there.where("label <> main").withColumn("x", left).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("mine", F.lit(True))
-    whole = there.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("mine", F.lit(False))
-    again = rest.unionByName(whole).select(F.xxhash64("g", "x").alias("t1"), F.col("y").alias("t2"), "id", "n", "data", "label", "mine")
+    near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))
+    rest = there.where("label <> main").withColumn("x", left).withColumn("band", near).join(bands, ["g", "band"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("mine", F.lit(True))
+    whole = there.join(bands, ["g", "band"]).withColumn("y", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("mine", F.lit(False))
+    again = rest.unionByName(whole).select(F.xxhash64("g", "x", "band").alias("t1"), F.col("y").alias("t2"), "id", "n", "data", "label", "mine")
     return links.union(first).union(_tiles(again, rule, exact, True))
 
 
@@ -426,7 +462,8 @@ def join_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    records = scratch.save(set_records(docs, rule, sketch(docs, rule, text_col), id_col, text_col).withColumn("id", F.col("id").cast("bigint")), "records")
+    counters = sketch(docs, rule, text_col)
+    records = scratch.save(set_records(docs, rule, counters, id_col, text_col).withColumn("id", F.col("id").cast("bigint")), "records")
     rows, same = records.select("id", "n", "h1", "h2"), ["n", "h1", "h2"]
     known = rows.where("n > 0 and id is not null")
     repeated = not known.groupBy("id").count().where("count > 1").isEmpty()
@@ -434,12 +471,19 @@ def join_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     # a class of equal sets is a node, which the row of its least id stands for; ids that repeat can't name their classes
     node = F.monotonically_increasing_id() if repeated else F.col("id")
     classes = scratch.save(known.groupBy(*same).agg(F.min("id").alias("id")).withColumn("node", node), "classes")
-    chosen = scratch.save(single(records.where("n > 0").join(classes, [*same, "id"])).select("node", "n", "keys", "bits"), "chosen")
-    total = chosen.agg(F.sum(F.size("keys"))).first()[0] or 0
-    entries = chosen.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n").repartition(max(spark.sparkContext.defaultParallelism, -(-total // 400_000)), "key")
+    chosen = scratch.save(single(records.where("n > 0").join(classes, [*same, "id"])).select("node", "n", "keys", "maybe_heavy", "bits"), "chosen")
+    total = chosen.agg(F.sum(F.size("keys") + F.size("maybe_heavy"))).first()[0] or 0
+    entries = chosen.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    heavy, heavy_members = rule.heavy_from(counters), None
+    if counters.max() >= heavy:
+        more, heavy_members = heavy_groups(chosen, rule, heavy, scratch)
+        entries = entries.unionByName(more)
+    entries = entries.repartition(max(spark.sparkContext.defaultParallelism, -(-total // 400_000)), "key")
     groups = scratch.save(groups_of(entries, rule), "groups")
     pairs = groups.where("g is null").select("a", "na", "b", "nb").distinct()
     members = groups.where("g is not null").select("g", "size", F.col("a").alias("id"), F.col("na").alias("n")).distinct()
+    if heavy_members is not None:
+        members = members.unionByName(heavy_members)
     bits = chosen.select(F.col("node").alias("id"), "bits")
     tied = link_groups(members.join(bits.withColumnRenamed("bits", "data"), "id"), rule, False, scratch)
     likely = scratch.save(_likely(pairs, bits, rule).union(tied).distinct(), "likely")

@@ -69,13 +69,36 @@ def near_copies(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(4, 85, block=8, pivots=2, pairs_up_to=2), Rule(5, 80, block=8, pivots=1, pairs_up_to=2)])
+@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(4, 85, block=8, pivots=2, pairs_up_to=2), Rule(5, 80, block=8, pivots=1, pairs_up_to=2), Rule(4, 85, block=8, wide=8, pivots=1, pairs_up_to=2, heavy=9), Rule(5, 80, block=6, wide=5, pivots=1, pairs_up_to=2, heavy=2), Rule(4, 100, block=4, wide=3, pivots=1, heavy=3)])
 def test_jaccard_near_copies(spark, rule):
     rows = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string"), rule).collect()}
     assert got == brute_components(rows, rule.shingle, rule.percent)
 
 
+def test_jaccard_bands():
+    """Sets that may link lie in the same size band or in the next one."""
+    import math
+
+    for percent in (50, 80, 85, 99):
+        rule = Rule(4, percent)
+        band = lambda n: math.floor(math.log(n) / math.log(100 / rule.percent) + 1e-9)  # noqa: E731, B023
+        assert all(abs(band(r) - band(s)) <= 1 for r in range(1, 300) for s in range(r, 601) if rule.may_differ(r, s) >= 0)
+
+
+def test_jaccard_unlinked_group(spark):
+    """Many texts share a passage that is most of each, but not enough to link them, and a few are linked."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(8 + i % 20))) for i in range(90)]
+    rows += [(200 + i, rows[i][1] + " " + word()) for i in range(0, 90, 9)]
+    for rule in (Rule(4, 85, block=8, wide=7, pivots=1, pairs_up_to=2, sketch_bits=8), Rule(4, 85, block=8, wide=7, pivots=1, pairs_up_to=2, sketch_bits=8, heavy=20)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string"), rule).collect()}
+        want = brute_components(rows, 4, 85)
+        assert got == want and len({c for _, c in want.values()}) > 50
+
+
 def test_jaccard_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op5_ngram_jaccard_join(spark, sf).collect()}
