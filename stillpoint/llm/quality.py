@@ -2,10 +2,11 @@
 
 Method. Two bag-of-n-grams models over the same hashed buckets: one of the target (texts labelled good), one of the raw
 corpus (all texts). A text's log weight is the sum over its n-grams of log(target / raw); Gumbel noise keyed by the id
-is added, and the k texts of the largest sums are the sample. The n-grams are of word forms (case, digits, punctuation,
-length class, repetition of the words just before), which say how a text is written rather than what about. k is the
-number of texts whose log weight reaches the level that labelled good texts reach; so the noise moves only texts near
-that level.
+is added, and the k texts of the largest sums are the sample. The n-grams are of words without case, which say what a
+text is about, and of word forms (case, digits, punctuation, length class, repetition of the words just before), which
+say how it is written. k is a parameter, as a number or as a share; without one it is the number of texts whose log
+weight reaches the level that labelled good texts reach. Log weights are sums over whole texts, most of them far from
+the k-th: the noise changes the sample near it only, by ``temperature`` nats (see noise_share()).
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from ..scratch import Scratch
 from .textio import PLACES, Bounded, mix, slices, texts_of
 
 BUCKETS = 10_000
+#: Largest n-grams of word forms, and of words.
 GRAMS = 2
+WORDS = 2
 #: Bound of the labelled sample: the target model and the level are fitted on so many labelled rows at most.
 MAX_LABELLED = 20_000
 #: Share of labelled good texts that may fall under the level, and what the level allows for noise, in nats.
@@ -40,11 +43,12 @@ def _form(word: bytes) -> int:
 
 
 class Grams:
-    """Buckets of the n-grams (1 to ``grams``) of word forms of texts."""
+    """Buckets of the n-grams of texts: 1 to ``grams`` word forms, 1 to ``words`` words without the case of A-Z."""
 
-    def __init__(self, buckets: int = BUCKETS, grams: int = GRAMS):
-        self.buckets, self.grams = buckets, grams
+    def __init__(self, buckets: int = BUCKETS, grams: int = GRAMS, words: int = 0):
+        self.buckets, self.grams, self.words = buckets, grams, words
         self.forms = Bounded(_form)
+        self.plain = Bounded(lambda w: xxhash.xxh64_intdigest(w.lower(), 1))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, index of text) of every n-gram."""
@@ -66,8 +70,21 @@ class Grams:
             if n > lag:
                 again[lag:] |= ((same[lag:] == same[:-lag]) & (owner[lag:] == owner[:-lag])).astype(np.uint64) << np.uint64(lag)
         x = mix(x + again * PLACES[5])
-        found, owners = [x], [owner]
-        for size in range(2, self.grams + 1):
+        found, owners = [], []
+        self._add(x, owner, self.grams, found, owners)
+        if self.words:
+            own = np.fromiter(map(self.plain.__getitem__, words), np.uint64, n)
+            self._add(own, owner, self.words, found, owners)
+        return (np.concatenate(found) % np.uint64(self.buckets)).astype(np.int64), np.concatenate(owners)
+
+
+    @staticmethod
+    def _add(x: np.ndarray, owner: np.ndarray, most: int, found: list, owners: list) -> None:
+        """Hashes of the n-grams of ``x`` within each owner, up to ``most``."""
+        n = len(x)
+        found.append(x)
+        owners.append(owner)
+        for size in range(2, most + 1):
             if n >= size:
                 h = x[: n - size + 1] * PLACES[0]
                 for k in range(1, size):
@@ -75,14 +92,13 @@ class Grams:
                 keep = owner[: n - size + 1] == owner[size - 1 :]
                 found.append(mix(h[keep]))
                 owners.append(owner[: n - size + 1][keep])
-        return (np.concatenate(found) % np.uint64(self.buckets)).astype(np.int64), np.concatenate(owners)
 
 
 class Resampler:
     """The fitted ratio: log(target / raw) of each bucket. Without target counts all weights are 0."""
 
-    def __init__(self, raw: np.ndarray, target: np.ndarray, grams: int = GRAMS):
-        self.grams = grams
+    def __init__(self, raw: np.ndarray, target: np.ndarray, grams: int = GRAMS, words: int = 0):
+        self.grams, self.words = grams, words
         if target.sum() and raw.sum():
             prior = np.full(len(raw), 1.0 / len(raw))
             pad = float(len(raw))  # one count for each bucket, at the target's scale
@@ -102,14 +118,18 @@ def labelled_sample(labels: DataFrame, bound: int = MAX_LABELLED, id_col: str =
     return {r["id"]: r["y"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(bound).collect()}
 
 
-def fit(docs: DataFrame, sample: dict, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, grams: int = GRAMS) -> Resampler:
-    """Counts over all rows, and over those labelled good. The driver receives 2 x ``buckets`` numbers."""
+def fit(docs: DataFrame, sample: dict, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, grams: int = GRAMS, words: int = WORDS) -> Resampler:
+    """Counts over all rows, and over those labelled good. The driver receives 2 x ``buckets`` numbers.
+
+    Null text is the empty text, without n-grams; a null id is never labelled; repeated rows count as often as they
+    stand; other columns are not read; an empty table gives weights of 0.
+    """
     good = {i for i, y in sample.items() if y == 1}
     shared = docs.sparkSession.sparkContext.broadcast(good)
     width = -(-buckets // _SLOTS)
 
     def count(batches):
-        make = Grams(buckets, grams)
+        make = Grams(buckets, grams, words)
         raw, target = np.zeros(width * _SLOTS, np.int64), np.zeros(width * _SLOTS, np.int64)
         for b in slices(batches, "text"):
             bucket, owner = make(texts_of(b))
@@ -135,40 +155,48 @@ def fit(docs: DataFrame, sample: dict, id_col: str = "doc_id", text_col: str = "
     for r in parts.repartition(_SLOTS, "slot").mapInArrow(total, schema).collect():
         raw[r["slot"] * width : (r["slot"] + 1) * width] += r["raw"]
         target[r["slot"] * width : (r["slot"] + 1) * width] += r["target"]
-    return Resampler(raw[:buckets], target[:buckets], grams)
+    return Resampler(raw[:buckets], target[:buckets], grams, words)
 
 
-def _noise(id_col, seed: int):
-    """Gumbel noise keyed by id and seed; one fixed value for null ids."""
+def _noise(id_col, seed: int, temperature: float = 1.0):
+    """Gumbel noise keyed by id and seed, times ``temperature``; one fixed value for null ids."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return -F.log(-F.log(unit))
+    return -F.log(-F.log(unit)) * F.lit(float(temperature))
+
 
+def scores(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, temperature: float = 1.0) -> DataFrame:
+    """(_id, _log_weight, _sample_key) of every row; the key is the log weight with the noise added.
 
-def scores(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """(_id, _log_weight, _sample_key) of every row; the key is the log weight with the noise added."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams))
+    Null text is the empty text, of weight 0; a null id stays null; repeated rows give repeated rows; other columns are not
+    read; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams, model.words))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        ratio, size = shared.value
-        make = Grams(len(ratio), size)
+        ratio, size, words = shared.value
+        make = Grams(len(ratio), size, words)
         for b in slices(batches, "text"):
             bucket, owner = make(texts_of(b))
             weight = np.bincount(owner, weights=ratio[bucket], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight, pa.float64()), pa.array(weight + b.column(1).to_numpy(zero_copy_only=False), pa.float64())], ["_id", "_log_weight", "_sample_key"])
 
-    rows = docs.select(docs[id_col].alias("_id"), _noise(docs[id_col], seed).alias("_noise"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].alias("_id"), _noise(docs[id_col], seed, temperature).alias("_noise"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"_id {id_type}, _log_weight double, _sample_key double")
 
 
-def filtered(docs: DataFrame, model: Resampler, threshold: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, all columns, whose key reaches the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams))
+def filtered(docs: DataFrame, model: Resampler, threshold: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, temperature: float = 1.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose key reaches the threshold.
+
+    Nulls and repeated rows as in scores(); columns pass as they are, whatever their names (id and text must name one
+    column each); an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.grams, model.words))
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
-        ratio, size = shared.value
-        make = Grams(len(ratio), size)
+        ratio, size, words = shared.value
+        make = Grams(len(ratio), size, words)
         for whole in batches:
             names = [f"c{i}" if i != at else "text" for i in range(whole.num_columns)]  # names may clash
             for b in slices([pa.RecordBatch.from_arrays(whole.columns, names)], "text"):
@@ -177,11 +205,14 @@ def filtered(docs: DataFrame, model: Resampler, threshold: float, id_col: str =
                 keep = pa.array(weight + b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) >= threshold)
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:-1]], schema.names)
 
-    return docs.select("*", _noise(docs[id_col], seed).alias("_noise")).mapInArrow(run, schema)
+    return docs.select("*", _noise(docs[id_col], seed, temperature).alias("_noise")).mapInArrow(run, schema)
 
 
 def level(table: DataFrame, sample: dict, missed: float = MISSED, margin: float = MARGIN) -> float:
-    """The log weight that all but ``missed`` of the labelled good texts reach, less ``margin``; -inf without such texts."""
+    """The log weight that all but ``missed`` of the labelled good texts reach, less ``margin``; -inf without such texts.
+
+    Rows of ``table`` with a null id are no labelled ones; rows of one id count each; an empty table gives -inf.
+    """
     spark = table.sparkSession
     good = [(i,) for i, y in sample.items() if y == 1]
     if not good:
@@ -222,19 +253,33 @@ class Quality:
         self.model, self.threshold, self.level, self.k = model, threshold, level, k
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, max_labelled: int = MAX_LABELLED, missed: float = MISSED, margin: float = MARGIN) -> tuple[Quality, DataFrame, Scratch]:
-    """Fit on all rows and a bounded labelled sample; returns the classifier and the table of all scores."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, max_labelled: int = MAX_LABELLED, missed: float = MISSED, margin: float = MARGIN, k: int | None = None, share: float | None = None, temperature: float = 1.0) -> tuple[Quality, DataFrame, Scratch]:
+    """Fit on all rows and a bounded labelled sample; returns the classifier and the table of all scores.
+
+    The sample has ``k`` rows, or a ``share`` of all; with neither, as many as reach the level (see level()).
+    """
     sample = labelled_sample(labels, max_labelled)
     model = fit(docs, sample, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "quality")
-    table = scratch.save(scores(docs, model, id_col, text_col, seed), "scores")
-    least = level(table, sample, missed, margin)
-    k = table.where(F.col("_log_weight") >= least).count()
+    table = scratch.save(scores(docs, model, id_col, text_col, seed, temperature), "scores")
+    least = float("nan")
+    if k is None and share is not None:
+        k = round(share * table.count())
+    if k is None:
+        least = level(table, sample, missed, margin)
+        k = table.where(F.col("_log_weight") >= least).count()
     return Quality(model, kth_key(table, k), least, k), table, scratch
 
 
+def noise_share(quality: Quality, table: DataFrame) -> float:
+    """The share of the sample that the noise brought in: rows of the k largest keys that aren't among the k largest log weights."""
+    without = kth_key(table.select(F.col("_log_weight").alias("_sample_key")), quality.k)
+    new = table.where((F.col("_sample_key") >= quality.threshold) & (F.col("_log_weight") < without)).count()
+    return new / max(1, quality.k)
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The sampled texts: (id, log_weight, sample_key), k rows (all rows that tie with the k-th too).
+    """The sampled texts: (id, log_weight, sample_key), k rows (all rows that tie with the k-th too). Options as of train().
 
     Null text is the empty text, of weight 0; a null id is kept like any other, with one fixed noise; repeated rows share
     their noise and stay together; other columns are not read. An empty table gives none; without good labels all
@@ -245,10 +290,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps, with all their columns; the text isn't shuffled, it is scored again."""
+    """The rows of ``docs`` that the resampling keeps, with all their columns; the text isn't shuffled, it is scored again.
+
+    Nulls, repeated rows, clashing names and empty tables as in resample() and filtered().
+    """
     quality, table, scratch = train(docs, labels, id_col, text_col, **options)
     scratch.drop(table)
-    return filtered(docs, quality.model, quality.threshold, id_col, text_col, options.get("seed", 17))
+    return filtered(docs, quality.model, quality.threshold, id_col, text_col, options.get("seed", 17), options.get("temperature", 1.0))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from itertools import zip_longest
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -313,6 +315,55 @@ def test_ratio_against_plain_counts():
     assert s[0] > 0 > s[1] and s[2] == 0
 
 
+def test_quality_against_plain_python(spark, sf):
+    """Weights of all texts and the ids sampled, by plain loops over words; the noise is Spark's."""
+    M = 2**64 - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & M
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & M
+        return h ^ h >> 31
+
+    p = [int(x) for x in quality.PLACES]
+
+    def buckets(text):
+        words = (text or "").encode().split()
+        forms = [re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[0-9]", b"9", w))), flags=re.S)[:8] + b"%d" % (min(len(w), 16) // 4) for w in words]
+        again = [sum(2**lag for lag in (1, 2, 3) if i >= lag and words[i] == words[i - lag]) for i in range(len(words))]
+        x = [mixed(xxhash.xxh64_intdigest(f) + a * p[5] & M) for f, a in zip(forms, again, strict=True)]
+        y = [xxhash.xxh64_intdigest(w.lower(), 1) for w in words]
+        return [h % quality.BUCKETS for g in (x, y) for h in [*g, *(mixed(a * p[0] + b * p[1] & M) for a, b in zip(g, g[1:], strict=False))]]
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    rows = [(r.doc_id, buckets(r.text)) for r in docs.select("doc_id", "text").collect()]
+    raw, target = Counter(b for _, bs in rows for b in bs), Counter(b for i, bs in rows if i in good for b in bs)
+    n, m, size = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    ratio = {b: math.log((target[b] + 1) / (m + size)) - math.log((raw[b] / n * m + 1) / (m + size)) for b in raw}
+    weight = {i: sum(ratio[b] for b in bs) for i, bs in rows}
+    noise = {r.doc_id: r.x for r in docs.select("doc_id", quality._noise(F.col("doc_id"), 17).alias("x")).collect()}
+    for options, k in (({}, None), ({"k": 60}, 60), ({"share": 0.5}, round(len(rows) / 2)), ({"k": 60, "temperature": 40.0}, 60)):
+        if k is None:
+            level = np.quantile([weight[i] for i in good if i in weight], quality.MISSED) - quality.MARGIN
+            k = sum(w >= level for w in weight.values())
+        key = {i: w + options.get("temperature", 1.0) * noise[i] for i, w in weight.items()}
+        least = sorted(key.values(), reverse=True)[k - 1] if k < len(key) else -math.inf
+        got = {r.doc_id: r for r in quality.resample(docs, labels, **options).collect()}
+        assert set(got) == {i for i, v in key.items() if v >= least - 1e-9}
+        assert all(abs(r.log_weight - weight[i]) < 1e-6 and abs(r.sample_key - key[i]) < 1e-6 for i, r in got.items())
+
+
+def test_noise_changes_the_sample(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = {}
+    for t in (0.0, 40.0):
+        model, table, _ = quality.train(docs, labels, k=80, temperature=t)
+        told[t] = quality.noise_share(model, table)
+    assert told[0.0] == 0 < told[40.0]
+
+
 def test_quality_odd(spark):
     rows = [(1, None, 0), (2, "", 1), (None, "Some good text stands here.", 2), (3, "Another good text.", 3), (3, "Another good text.", 3), (4, "word " * 40_000, 4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _noise int")
