@@ -1,8 +1,8 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Method. Unit vectors are cut into two halves, each quantised with its own centroids; a pair of centroids is a cell. A
-query walks the cells by the sum of its two distances, with a heap over pairs of its sorted distances, until the cells
-hold enough entries; the sum at which it stops is its reach, and the entries of all cells within reach are reranked by
+query walks the cells that have entries by the sum of its two distances, with a heap over pairs of its sorted distances,
+until these hold enough entries; the sum at which it stops is its reach, and the entries of all cells within reach are reranked by
 their exact cosine. Centroids grow with the square root of the number of entries, the entries that a query reaches with
 its power 3/4: a smaller share of a larger table, at any size.
 
@@ -73,30 +73,49 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c**2).sum(1)[None] - 2 * x @ c.T + (x**2).sum(1)[:, None]
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int) -> tuple[list[int], float]:
-    """Cells by summed distance, until they hold ``need`` entries, and the last one's sum: the multi-sequence walk, with a heap.
+def rows_of(held: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each centroid of the first half: those of the second half with which it has entries, and how many."""
+    return [(c := np.flatnonzero(row), row[c]) for row in held.reshape(-1, k)]
 
-    The heap has one pair for each opened row, its next; a row is opened when the one before it starts.
+
+def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int, rows: list | None = None) -> tuple[list[int], float]:
+    """Cells with entries by summed distance, until they hold ``need`` entries, and the last one's sum.
+
+    The multi-sequence walk, with a heap: each opened row (a centroid of the first half) has its next pair in it. A row
+    is sorted only when its least possible sum is due, and cells without entries are never visited. ``rows`` is
+    rows_of(held).
     """
     k = len(d2)
-    o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
-    s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    heap, out, got, total = [(s1[0] + s2[0], 0, 0)], [], 0, -np.inf
+    rows = rows if rows is not None else rows_of(held, k)
+    o1 = np.argsort(d1, kind="stable").tolist()
+    s1, least = d1[o1].tolist(), float(d2.min())
     replace, push, pop = heapq.heapreplace, heapq.heappush, heapq.heappop
+    # (sum, row, place in the row), the place -1 for a row that isn't open yet
+    heap: list[tuple[float, int, int]] = [(s1[0] + least, 0, -1)]
+    opened: dict[int, tuple[list, list, list]] = {}
+    out, got, far = [], 0, -np.inf
     while heap and got < need:
         total, i, j = heap[0]
-        cell = o1[i] * k + o2[j]
-        n = held[cell]
-        if n:
-            out.append(cell)
-            got += int(n)
-        if j + 1 < k:
-            replace(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if j < 0:
+            pop(heap)
+            if i + 1 < len(o1):
+                push(heap, (s1[i + 1] + least, i + 1, -1))
+            cols, counts = rows[o1[i]]
+            if len(cols):
+                gap = d2[cols]
+                order = np.argsort(gap, kind="stable")
+                opened[i] = ((gap[order] + s1[i]).tolist(), (cols[order] + o1[i] * k).tolist(), counts[order].tolist())
+                push(heap, (opened[i][0][0], i, 0))
+            continue
+        sums, cells, counts = opened[i]
+        far = total
+        out.append(cells[j])
+        got += counts[j]
+        if j + 1 < len(sums):
+            replace(heap, (sums[j + 1], i, j + 1))
         else:
             pop(heap)
-        if j == 0 and i + 1 < len(o1):
-            push(heap, (s1[i + 1] + s2[0], i + 1, 0))
-    return out, total
+    return out, far
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -229,13 +248,13 @@ def _search(rows: DataFrame, n: int, is_query, k: int, index: Index, scratch: Sc
         """Queries with their reach, once for each block that holds a cell within it."""
         for whole in batches:
             held, first, many = plan.value
-            counted = held.tolist()
+            listed = rows_of(held, n2)
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
                 d1, d2 = (distances(h, p) for h, p in zip(halves(_matrix(b.column(1))), shared.value, strict=True))
                 at, to, reach = [], [], []
                 for i in range(b.num_rows):
-                    cells, far = walk(d1[i], d2[i], counted, need)
+                    cells, far = walk(d1[i], d2[i], held, need, listed)
                     own = np.array(cells, np.int64)
                     wide = own[many[own] > 1]
                     blocks_of = np.unique(np.concatenate([first[own], *(first[c] + np.arange(many[c], dtype=np.int32) for c in wide)]))
