@@ -72,10 +72,14 @@ def _changed(a: Column, b: Column, k: str) -> Column:
     return (F.size(a[k]) > 0) & (F.size(b[k]) > 0) & (a[k] != b[k])
 
 
+def differing_markers(x: Column, y: Column) -> Column:
+    """Of raw markers: some kind stands in both, but not the same ones."""
+    return _any([_changed(x, y, k) for k in KINDS])
+
+
 def differing_evidence(a: Column, b: Column) -> Column:
     """Of token sets: some kind of raw marker stands in both, but not the same ones."""
-    x, y = raw_markers(a), raw_markers(b)
-    return _any([_changed(x, y, k) for k in KINDS])
+    return differing_markers(raw_markers(a), raw_markers(b))
 
 
 def evidence_asymmetry(a: Column, b: Column) -> Column:
@@ -173,14 +177,15 @@ def merge_policy(a: Column, b: Column, either_protected: Column, caption_a: Colu
     return F.struct(((reason == "ocr_jaccard") & (jaccard(a, b) >= limit)).alias("ok"), reason.alias("reason"))
 
 
-def merge_verdict(a: Column, b: Column, has_a: Column, has_b: Column, dt: Column, overlap: Column, either_protected: Column, caption_a: Column, caption_b: Column) -> Column:
-    """struct(ok, reason) of a pair for the component merge."""
+def merge_verdict(a: Column, b: Column, has_a: Column, has_b: Column, dt: Column, overlap: Column, either_protected: Column, caption_a: Column, caption_b: Column, markers_a: Column | None = None, markers_b: Column | None = None) -> Column:
+    """struct(ok, reason) of a pair for the component merge; raw markers may be given, so that pairs don't find them again."""
     both = has_a & has_b
+    x, y = (markers_a, markers_b) if markers_a is not None else (raw_markers(a), raw_markers(b))
     limit = F.when(either_protected, F.lit(0.9)).otherwise(F.lit(0.75))
     captions = caption_protects_strongly(caption_a) != caption_protects_strongly(caption_b)
     reason = (
-        F.when(both & differing_evidence(a, b), "ocr-evidence")
-        .when(both & either_protected & evidence_asymmetry(a, b), "ocr-evidence-asymmetry")
+        F.when(both & differing_markers(x, y), "ocr-evidence")
+        .when(both & either_protected & (has_markers(x) != has_markers(y)), "ocr-evidence-asymmetry")
         .when(both & either_protected & captions, "ocr-caption-asymmetry")
         .when(both & (jaccard(a, b) < limit), "ocr-jaccard")
         .when(both & density_veto(a, b), "ocr-density")

@@ -98,7 +98,7 @@ def extract(samples: DataFrame, features: DataFrame, metrics: DataFrame, evidenc
     stages["survival.after_low_info_filter"] = kept
     kept = save(survive.keep_survivors(kept, survive.adjacent_dedupe(kept, key, **config.adjacent), key), "survival")
     stages["survival.after_adjacent_dedupe"] = kept
-    verdicts = merge.pair_verdicts(kept, key, within=F.abs(F.col("b_ts") - F.col("a_ts")) <= 30.0)
+    verdicts = merge.pair_verdicts(kept, key, seconds=30.0)
     parts = save(merge.merge_components(kept, verdicts, key), "components")
     rolled = merge.lineage_rollup(kept.join(parts, at), ("component",), key).select(*at, "merged_from_sample_idxs", "merged_timestamps", "merged_captions", "merged_from", "component")
     kept = save(kept.drop("merged_from_sample_idxs").join(rolled, at), "merged")

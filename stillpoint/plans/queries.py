@@ -634,10 +634,13 @@ def content_veto(spark, d):
     return survive.content_dedupe(rows).select("video_id", "sample_idx", "kept", "survivor_idx")
 
 
-_PV = f"{V4}, pr as (select a.video_id, a.sample_idx as i, b.sample_idx as j, a.tokens as ta, b.tokens as tb, b.ts - a.ts as dt from v4 a join v4 b on a.video_id = b.video_id and a.sample_idx < b.sample_idx and b.ts - a.ts <= 5)"
+# markers are found once a row; lists of a kind differ where both hold something and aren't equal
+_PV = f"""{V4}, mk as (select video_id, sample_idx, ts, tokens, {', '.join(f"{raw_sql(k, 'tokens')} as m_{k}" for k in ev.KINDS)} from v4),
+pr as (select a.video_id, a.sample_idx as i, b.sample_idx as j, a.tokens as ta, b.tokens as tb, abs(b.ts - a.ts) as dt, ({' or '.join(f"(len(a.m_{k}) > 0 and len(b.m_{k}) > 0 and a.m_{k} <> b.m_{k})" for k in ev.KINDS)}) as differs from mk a join mk b on a.video_id = b.video_id and a.sample_idx < b.sample_idx),
+jc as (select *, {_JAC} as jac from pr)"""
 
 
-@query(f"""with {_PV} select video_id, i, j, case when {differ_sql('ta', 'tb')} then 'ocr-evidence' when {_JAC} < 0.75 then 'ocr-jaccard' when greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) then 'ocr-density' else 'merge' end as reason, round({_JAC}, 6) as jaccard from pr""")
+@query(f"""with {_PV} select video_id, i, j, case when differs then 'ocr-evidence' when jac < 0.75 then 'ocr-jaccard' when greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) then 'ocr-density' when dt > 30 then 'time-transcript' else 'merge' end as reason, round(jac, 6) as jaccard from jc""")
 def pair_verdicts(spark, d):
     """All pairs i < j of a recording, however far apart."""
     return merge.pair_verdicts(views.candidates(spark, d)).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
@@ -646,7 +649,7 @@ def pair_verdicts(spark, d):
 @query()
 def union_find_merge(spark, d):
     rows = views.candidates(spark, d)
-    verdicts = merge.pair_verdicts(rows, within=F.col("b_ts") - F.col("a_ts") <= 30)
+    verdicts = merge.pair_verdicts(rows, seconds=30.0)
     return merge.merge_components(rows, verdicts)
 
 
@@ -693,7 +696,7 @@ def transcript_window(spark, d):
 # Quality assurance: three stages of one recording's samples against wanted times
 
 _STAGED = f"""{V1}, {V6}, st as (select video_id, 'sampling' as stage, sample_idx, ts, [ts] as merged_timestamps from v1 union all select video_id, 'proposal.pass1_primary', sample_idx, ts, [ts] from v1 where sample_idx % 4 = 0 union all select video_id, 'survival.final_post_cap', sample_idx, ts, [ts, ts + 6.0::double] from v1 where sample_idx % 8 = 0),
-tg as (select v.video_id, v6.* from v6 cross join (select distinct video_id from v1 where video_id % 10 = 1) v), tm as (select video_id, stage, sample_idx, ts as seen, 'timestamp' as via from st union all select video_id, stage, sample_idx, unnest(merged_timestamps), 'merged_timestamps' from st),
+tg as (select v.video_id, v6.* from v6 cross join (select distinct video_id from v1) v), tm as (select video_id, stage, sample_idx, ts as seen, 'timestamp' as via from st union all select video_id, stage, sample_idx, unnest(merged_timestamps), 'merged_timestamps' from st),
 jn as (select tg.video_id, label, tolerance, stage, sample_idx, seen, via, abs(seen - time_s) as delta from tg join tm using (video_id)), nr as (select video_id, label, stage, min(row(case when delta <= tolerance and via = 'timestamp' then 0 when delta <= tolerance then 1 else 2 end, delta, seen, sample_idx)) as b from jn group by all)"""
 
 
