@@ -177,24 +177,23 @@ def merge_policy(a: Column, b: Column, either_protected: Column, caption_a: Colu
     return F.struct(((reason == "ocr_jaccard") & (jaccard(a, b) >= limit)).alias("ok"), reason.alias("reason"))
 
 
-def merge_verdict(a: Column, b: Column, has_a: Column, has_b: Column, dt: Column, overlap: Column, either_protected: Column, caption_a: Column, caption_b: Column, markers_a: Column | None = None, markers_b: Column | None = None) -> Column:
-    """struct(ok, reason) of a pair for the component merge; raw markers may be given, so that pairs don't find them again."""
+def merge_verdict(a: Column, b: Column, has_a: Column, has_b: Column, dt: Column, overlap: Column, either_protected: Column, caption_a: Column, caption_b: Column, markers_a: Column | None = None, markers_b: Column | None = None, likeness: Column | None = None) -> Column:
+    """The reason of a pair's verdict for the component merge, ``merge`` if it may; raw markers and Jaccard may be given, so that pairs don't find them again."""
     both = has_a & has_b
     x, y = (markers_a, markers_b) if markers_a is not None else (raw_markers(a), raw_markers(b))
     limit = F.when(either_protected, F.lit(0.9)).otherwise(F.lit(0.75))
     captions = caption_protects_strongly(caption_a) != caption_protects_strongly(caption_b)
-    reason = (
+    return (
         F.when(both & differing_markers(x, y), "ocr-evidence")
         .when(both & either_protected & (has_markers(x) != has_markers(y)), "ocr-evidence-asymmetry")
         .when(both & either_protected & captions, "ocr-caption-asymmetry")
-        .when(both & (jaccard(a, b) < limit), "ocr-jaccard")
+        .when(both & ((jaccard(a, b) if likeness is None else likeness) < limit), "ocr-jaccard")
         .when(both & density_veto(a, b), "ocr-density")
         .when(has_a != has_b, "ocr-presence")
         .when((dt > 30.0) & (overlap < 2), "time-transcript")
         .when(~has_a & ~has_b & (overlap < 2), "weak-signal")
         .otherwise("merge")
     )
-    return F.struct((reason == "merge").alias("ok"), reason.alias("reason"))
 
 
 def screen_type(tokens: Column, caption: Column) -> Column:

@@ -75,6 +75,12 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """As jaccard, of arrays without repeats: the union's size follows from the intersection's."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both.cast("double") / (F.size(a) + F.size(b) - both))
+
+
 def density_veto(a: Column, b: Column) -> Column:
     """Both sets hold something, one has at least twice as many tokens, and some the other lacks."""
     big, small = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))

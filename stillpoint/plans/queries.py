@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import hashing, tokens
 from ..operators import allocate, attribution, merge, promote, propose, qa, segment, survive, transcript
+from ..scratch import Scratch
 from ..sources import views
 from ..sources.views import V1, V2, V3, V4, V5, V6
 from .sqltext import LIST, raw_sql, strict_sql, tokens_sql
@@ -499,8 +500,13 @@ def low_info_filter(spark, d):
 _RESCUE = f"{V4}, res as (select * from v4 where sample_idx % 3 = 2), cand as (select * from v4 where sample_idx % 3 <> 2)"
 
 
+def _candidates_once(spark, d):
+    """The view of candidates, written: queries that read it several times don't join it again."""
+    return Scratch(spark, "candidates").save(views.candidates(spark, d))
+
+
 def _split(spark, d):
-    rows = views.candidates(spark, d)
+    rows = _candidates_once(spark, d)
     return rows.where("sample_idx % 3 = 2"), rows.where("sample_idx % 3 <> 2")
 
 
@@ -643,12 +649,12 @@ jc as (select *, {_JAC} as jac from pr)"""
 @query(f"""with {_PV} select video_id, i, j, case when differs then 'ocr-evidence' when jac < 0.75 then 'ocr-jaccard' when greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) then 'ocr-density' when dt > 30 then 'time-transcript' else 'merge' end as reason, round(jac, 6) as jaccard from jc""")
 def pair_verdicts(spark, d):
     """All pairs i < j of a recording, however far apart."""
-    return merge.pair_verdicts(views.candidates(spark, d)).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
+    return merge.pair_verdicts(_candidates_once(spark, d)).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
 
 
 @query()
 def union_find_merge(spark, d):
-    rows = views.candidates(spark, d)
+    rows = _candidates_once(spark, d)
     verdicts = merge.pair_verdicts(rows, seconds=30.0)
     return merge.merge_components(rows, verdicts)
 
