@@ -40,7 +40,7 @@ class Rule:
     #: Largest group whose pairs are listed one by one; larger ones go to tiles.
     pairs_up_to: int = 6
     #: Texts in a part of a large group, and in the tiles where what the parts leave apart is compared.
-    block: int = 512
+    block: int = 2048
     wide: int = 2048
     #: Keys with more postings than this, and than a 100,000th of all shingles, never meet in one task.
     heavy: int = 65_536
