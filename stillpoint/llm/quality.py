@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .textio import PLACES, Bounded, mix, slices, texts_of
+from .textio import CACHE_BYTES, PLACES, Bounded, mix, slices, texts_of
 
 BUCKETS = 10_000
 #: Largest n-grams of word forms, and of words.
@@ -42,29 +42,63 @@ def _form(word: bytes) -> int:
     return xxhash.xxh64_intdigest(_RUN.sub(rb"\1", word)[:8] + b"%d" % (min(len(word), 16) // 4))
 
 
+class _Places(dict):
+    """Places of words in the order in which they first occur; those of a call's new words are taken after it."""
+
+    def __init__(self, limit: int = 200_000, most_bytes: int = CACHE_BYTES):
+        super().__init__()
+        self._limit, self._most, self._bytes, self._new = limit, most_bytes, 0, []
+
+    def __missing__(self, word):
+        place = self[word] = len(self)
+        self._new.append(word)
+        return place
+
+    def take(self) -> list[bytes]:
+        new, self._new = self._new, []
+        self._bytes += sum(map(len, new))
+        return new
+
+    def full(self) -> bool:
+        """Whether to begin anew before the next call, which may add as many words as its texts hold."""
+        return len(self) >= self._limit or self._bytes > self._most
+
+
 class Grams:
     """Buckets of the n-grams of texts: 1 to ``grams`` word forms, 1 to ``words`` words without the case of A-Z."""
 
     def __init__(self, buckets: int = BUCKETS, grams: int = GRAMS, words: int = 0):
         self.buckets, self.grams, self.words = buckets, grams, words
         self.forms = Bounded(_form)
-        self.plain = Bounded(lambda w: xxhash.xxh64_intdigest(w.lower(), 1))
+        self.places = _Places()
+        self.known = np.empty((2, 0), np.uint64)
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in ``known``, whose rows are the hashes of forms and of words without the case of A-Z."""
+        if self.places.full():
+            self.places = _Places()
+            self.known = np.empty((2, 0), np.uint64)
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if new := self.places.take():
+            # words hold no blanks
+            forms = b" ".join(new).translate(_FORM).split(b" ")
+            hashes = [np.fromiter(map(self.forms.__getitem__, forms), np.uint64, len(new))]
+            hashes.append(np.fromiter([xxhash.xxh64_intdigest(w.lower(), 1) for w in new] if self.words else [0] * len(new), np.uint64, len(new)))
+            self.known = np.concatenate([self.known, np.array(hashes)], axis=1)
+        return at
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, index of text) of every n-gram."""
         words: list[bytes] = []
-        forms: list[bytes] = []
         counts = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            raw = t.encode("utf-8")
-            own = raw.split()
+            own = t.encode("utf-8").split()
             counts[i] = len(own)
             words += own
-            forms += raw.translate(_FORM).split()
         n = len(words)
         owner = np.repeat(np.arange(len(texts)), counts)
-        same = np.fromiter(map(hash, words), np.int64, n)
-        x = np.fromiter(map(self.forms.__getitem__, forms), np.uint64, n)
+        same = self._look_up(words)
+        x = self.known[0, same]
         again = np.zeros(n, np.uint64)
         for lag in (1, 2, 3):
             if n > lag:
@@ -73,11 +107,9 @@ class Grams:
         found, owners = [], []
         self._add(x, owner, self.grams, found, owners)
         if self.words:
-            own = np.fromiter(map(self.plain.__getitem__, words), np.uint64, n)
-            self._add(own, owner, self.words, found, owners)
+            self._add(self.known[1, same], owner, self.words, found, owners)
         return (np.concatenate(found) % np.uint64(self.buckets)).astype(np.int64), np.concatenate(owners)
 
-
     @staticmethod
     def _add(x: np.ndarray, owner: np.ndarray, most: int, found: list, owners: list) -> None:
         """Hashes of the n-grams of ``x`` within each owner, up to ``most``."""
