@@ -11,8 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens as tk
-from ..operators import allocate, merge, promote, propose, qa, segment, survive
+from ..operators import allocate, attribution, merge, promote, propose, qa, segment, survive
 from ..operators.segment import KEY
 from ..scratch import Scratch
 
@@ -43,12 +42,28 @@ class Result:
     stages: dict[str, DataFrame]
 
 
+#: What the text of a sample says, beside its tokens.
+SAID = ["tokens", "rescue_tokens", "ocr_line_signature", "field_signature", "raw_token_count", "filtered_token_count", "cleaned_token_count", "cleaning_attrition_ratio", "caption_source"]
+
+
+def _said(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ocr_text) and the columns of SAID; a token in over half of a recording's rows is no token."""
+    return attribution.attribute(rows, key=key).withColumn("tokens", F.col("ocr_tokens")).select(*rows.columns, *SAID)
+
+
+def _with_tokens(rows: DataFrame, said: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of SAID; rows that ``said`` doesn't know have no tokens."""
+    joined = rows.join(said.select(key, "sample_idx", *SAID), [key, "sample_idx"], "left")
+    return joined.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
 def extract(samples: DataFrame, features: DataFrame, metrics: DataFrame, evidence: DataFrame, config: Config = Config(), key: str = KEY) -> Result:
     """samples (key, sample_idx, frame_idx, ts); features (key, sample_idx, dhash, embedding); metrics (key, sample_idx,
     sharpness, edge, entropy, dark, bright, stddev, text, proxy_content_score, delta); evidence (key, sample_idx, ocr_text,
     caption). ``delta`` is the change of the content area from the sample before.
 
-    Recordings of fewer than four samples are left out. Each stage is written to the scratch folder, so that plans
+    Recordings of fewer than four samples are left out. A sample without ocr_text is none that was read: it has no tokens,
+    and isn't in the stage evidence.rescue_ocr_batch. Each stage is written to the scratch folder, so that plans
     stay short and a lost executor costs one stage's tasks.
     """
     at = [key, "sample_idx"]
@@ -78,16 +93,25 @@ def extract(samples: DataFrame, features: DataFrame, metrics: DataFrame, evidenc
     lanes = segment.local_peaks(eligible.withColumn("prev_delta", F.coalesce("delta", F.lit(0.0))).withColumn("next_delta", F.coalesce(F.lead("delta").over(w), F.lit(0.0))), "text", key)
     limits = save(allocate.rescue_limits(eligible, config.pass1_clusters, key=key), "limits")
     listed = propose.shortlist(save(lanes.join(limits, key), "lanes"), key)
-    seen = evidence.select(*at, "ocr_text", "caption").withColumn("tokens", tk.clean_tokens(tk.token_set(F.col("ocr_text")))).withColumn("rescue_tokens", tk.rescue_token_set(F.col("ocr_text"))).withColumn("ocr_line_signature", tk.line_signatures(F.col("ocr_text")))
+    texts = evidence.select(*at, "ocr_text", "caption")
     vectors = features.select(*at, "embedding")
-    known = save(context.join(seen, at, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "evidence")
-    rescue = save(known.join(listed.select(*at, "proposal_lane"), at), "shortlist").join(vectors, at, "left")
-    main = save(known.join(proposed.select(*at, "clip_cluster_size", "cluster_role"), at), "main")
+    bare = save(context.join(texts, at, "left").join(proposed.select(*at, "clip_cluster_size", "cluster_role"), at), "bare")
+    wanted = save(context.join(texts, at, "left").join(listed.select(*at, "proposal_lane"), at), "wanted")
+    # read first: the shortlist and the primaries that it is compared with; other primaries have no tokens yet
+    compared = bare.join(promote.comparison_primaries(wanted, bare, key), at, "left_semi")
+    batch = wanted.select(*at, "ts", "ocr_text").union(compared.select(*at, "ts", "ocr_text")).where("ocr_text is not null").distinct()
+    read = save(_said(batch, key).drop("ocr_text"), "read")
+    rescue = save(_with_tokens(wanted, read, key), "shortlist").join(vectors, at, "left")
+    main = save(_with_tokens(bare, read, key), "main")
     judged = promote.judged(rescue, main.join(vectors, at, "left"), key).where("eligible").withColumn("rescue_priority", F.row_number().over(Window.partitionBy(key).orderBy(*promote.priority()))).join(limits.select(key, "rescue_budget"), key)
     promotion = judged.where(F.col("rescue_priority") <= F.col("rescue_budget")).select(*at, F.col("reason").alias("rescue_reason"), "rescue_priority", "primary_idx")
     rescued = save(promote.promoted_rows(rescue.drop("embedding"), promotion, main, key=key), "promoted")
     chosen = main.unionByName(rescued.drop("primary_idx"), allowMissingColumns=True)
-    stages |= {"proposal.rescue_shortlist": rescue, "selection.promoted_rescue_only": rescued, "selection.after_rescue": chosen}
+    stages |= {"proposal.rescue_shortlist": rescue, "evidence.rescue_ocr_batch": read, "selection.promoted_rescue_only": rescued, "selection.after_rescue": chosen}
+    # read again: every selected row, its tokens without those that most of the selected show
+    told = _said(chosen.select(*at, "ocr_text"), key).drop("ocr_text")
+    chosen = save(_with_tokens(chosen.drop(*SAID), told, key), "told")
+    stages["evidence.final_ocr"] = chosen
     # what survives
     kept = save(survive.retain_alternates(chosen, key), "retained")
     stages["selection.retained_after_alt"] = kept
