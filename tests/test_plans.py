@@ -7,7 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from stillpoint.operators import segment, survive
+from stillpoint.operators import qa, segment, survive
 from stillpoint.plans import pipeline
 from stillpoint.sources import frames, png, sinks
 from stillpoint.streaming import folds
@@ -32,6 +32,44 @@ def recording(spark, name="v", n=40):
     )
 
 
+def check_texts(result, texts):
+    """All stages are there; what is read in the two text stages, and which tokens that leaves."""
+    assert set(result.stages) == set(qa.STAGES)
+    rows = lambda stage: {r.sample_idx: r for r in result.stages[stage].collect()}
+    listed, batch, final = rows("proposal.rescue_shortlist"), rows("evidence.rescue_ocr_batch"), rows("evidence.final_ocr")
+    proposed = set(rows("proposal.pass1_primary")) | set(rows("proposal.cluster_alt"))
+    assert listed and set(listed) <= set(batch) <= set(listed) | proposed
+    assert set(final) == set(rows("selection.after_rescue"))
+    words = {i: set(texts[i].lower().split()) for i in final}
+    for i, r in final.items():
+        assert r.raw_token_count == len(words[i]) and r.cleaned_token_count == len(r.tokens)
+        assert all(2 * sum(t in {w.replace(".", "") for w in ws} for ws in words.values()) <= len(final) for t in r.tokens)
+
+
+def test_every_outcome(spark):
+    """Each bucket from the stages that a target hits; the last of a target's stages decides."""
+    cases = {
+        "no_sample_near_target": [],
+        "sampled_but_no_proposal_near_target": ["sampling"],
+        "coarse_proposal_exists_but_not_selected": ["sampling", "proposal.pass1_primary"],
+        "selected_but_not_retained_after_alt": ["sampling", "selection.after_rescue", "evidence.final_ocr"],
+        "rescue_shortlisted_but_not_ocrd": ["sampling", "proposal.rescue_shortlist"],
+        "rescue_ocrd_but_not_promoted": ["sampling", "proposal.rescue_shortlist", "evidence.rescue_ocr_batch"],
+        "promoted_rescue_but_not_retained_after_alt": ["sampling", "proposal.rescue_shortlist", "evidence.rescue_ocr_batch", "selection.promoted_rescue_only"],
+        "retained_after_alt_but_removed_by_survival_policy": ["sampling", "selection.retained_after_alt"],
+        "present_after_selection_but_removed_by_survival_policy": ["selection.retained_after_alt", "survival.after_global_dedupe"],
+        "present_pre_cap_but_removed_by_cap_or_policy": ["survival.after_content_area_veto", "survival.final_pre_cap"],
+        "hit_direct": ["survival.final_pre_cap", "survival.final_post_cap"],
+    }
+    rows = [("v", s, k, 100.0 * k, [100.0 * k]) for k, stages in enumerate(cases.values()) for s in stages]
+    rows.append(("v", "survival.final_post_cap", 99, 5000.0, [5000.0, 9000.0]))
+    targets = [("v", b, 100.0 * k, 1.0) for k, b in enumerate(cases)] + [("v", "hit_lineage_only", 9000.0, 1.0)]
+    targets = spark.createDataFrame(targets, "video_id string, label string, time_s double, tolerance double")
+    found = qa.nearest_in_stage(targets, spark.createDataFrame(rows, "video_id string, stage string, sample_idx int, ts double, merged_timestamps array<double>"))
+    got = {r.label: r.bucket for r in qa.outcomes(targets, found).collect()}
+    assert len(got) == 12 and all(label == bucket for label, bucket in got.items())
+
+
 def test_extraction_and_trace(spark, tmp_path):
     tables = recording(spark)
     result = pipeline.extract(*tables, pipeline.Config(pass1_clusters=6, max_output_frames=4))
@@ -42,6 +80,7 @@ def test_extraction_and_trace(spark, tmp_path):
     targets = spark.createDataFrame([("v", "near", float(got[0].ts), 2.25), ("v", "never", 500.0, 1.0)], "video_id string, label string, time_s double, tolerance double")
     buckets = {r.label: r.bucket for r in pipeline.trace_targets(result, targets).collect()}
     assert buckets == {"near": "hit_direct", "never": "no_sample_near_target"}
+    check_texts(result, {r.sample_idx: r.ocr_text for r in tables[3].collect()})
     segs = spark.createDataFrame([("v", 0, 0.0, 3.0, " hello "), ("v", 1, 4.0, 30.0, "world")], "video_id string, seg_no int, start_s double, end_s double, text string")
     sinks.write_manifest(rows, str(tmp_path / "m"), segs)
     doc = json.loads(spark.read.text(str(tmp_path / "m")).first()["value"])
