@@ -523,5 +523,19 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
     return single.unionByName(multiple.dropDuplicates([id_col]))
 
 
+#: DuckDB SQL of op5: links by an inverted index over the classes of equal sets, then the least id along the links.
+OP5_SQL = r"""with recursive split as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+word as (select doc_id, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as p from split),
+run as (select doc_id, n, p, concat_ws(' ', x, lead(x, 1) over near, lead(x, 2) over near, lead(x, 3) over near) as s from word window near as (partition by doc_id order by p)),
+sets as materialized (select doc_id, list_sort(list(distinct s)) as s from run where p = 1 or p <= n - 3 group by doc_id),
+class as materialized (select min(doc_id) as id, len(s) as n, s from sets group by s),
+shingle as materialized (select id, n, unnest(s) as x from class),
+link as (select a.id as a, b.id as b from shingle a join shingle b on a.x = b.x and a.id < b.id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.id, b.id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge as materialized (select a, b from link union all select b, a from link),
+reach(id, root) as (select id, id from class union select e.b, r.root from reach r join edge e on r.id = e.a where r.root < e.b),
+least_id as (select id, min(root) as root from reach group by id)
+select d.doc_id, coalesce(len(s.s), 0)::bigint as n_shingles, coalesce(l.root, d.doc_id) as component_id from documents d left join sets s on s.doc_id = d.doc_id left join class c on c.s = s.s left join least_id l on l.id = c.id"""
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(shingle=4, percent=85))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import zip_longest
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -107,6 +108,18 @@ def test_jaccard_whole_table(spark, sf):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_twin(spark, duck, sf, tmp_path):
+    """The SQL twin on the table, and on chains and crowds of near copies with texts without words."""
+    got = {tuple(r) for r in jaccard_join.op5_ngram_jaccard_join(spark, sf).collect()}
+    assert got == set(duck.sql(jaccard_join.OP5_SQL).fetchall())
+    rows = [*near_copies(), (900, None), (901, ""), (902, " \t "), (903, "A b"), (904, "a B"), (905, "x\u00a0y \u00c4 z")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d/documents.parquet")
+    got = {tuple(r) for r in jaccard_join.op5_ngram_jaccard_join(spark, f"{tmp_path}/d").collect()}
+    other = duckdb.connect()
+    other.sql(f"create view documents as select * from '{tmp_path}/d/documents.parquet/*.parquet'")
+    assert got == set(other.sql(jaccard_join.OP5_SQL).fetchall()) and len({c for _, _, c in got}) < len(rows)
+
+
 def test_jaccard_odd(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, "one two three four five six", 1), (5, "one two three four five six", 1), (5, long, 2), (3, long + " end", 3), (None, long, 4), (7, None, 5), (8, "", 6), (9, "one  two\tthree", 7), (2, "ONE two Three", 8)]
