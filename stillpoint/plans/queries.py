@@ -333,9 +333,31 @@ def line_signatures(spark, d):
     return views.texts(spark, d).select("video_id", "sample_idx", F.array_join(tokens.line_signatures(F.col("ocr_text")), "|").alias("signature"))
 
 
-@query()
+def _evidence_sql(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[a-z0-9][a-z0-9._/-]*'), lambda t: regexp_replace(t, '[._/-]+$', '')), lambda t: t <> '')"
+
+
+def _short_sql(prefix: str, tokens: str) -> str:
+    return f"'{prefix}:' || substr(sha256(array_to_string({tokens}, ' ')), 1, 10)"
+
+
+_VALUE = f"lambda t: t in {LIST(ev.VALUES)} or regexp_matches(t, '[0-9]')"
+_VALUE_NAME = f"""lambda t: case when t in {LIST(ev.SIGNATURE_STATUS)} then 'status:' || t when regexp_matches(t, '^{ev.DATE_VALUE.replace(chr(92) + "b", "")}$') then 'date:' || t when starts_with(t, 'page') and length(t) > 4 then 'page:' || substr(t, 5) else {_short_sql('value', '[t]')} end"""
+_REST = "list_transform(list_filter(own, lambda t: starts_with(t, '{0}') and length(t) > {1}), lambda t: '{0}:' || substr(t, {1} + 1))"
+
+
+@query(f"""with {V3}, hay as (select *, lower(coalesce(ocr_text, '')) || ' ' || lower(array_to_string({_TOK}, ' ')) as hay from v3), own as (select *, {_evidence_sql('hay')} as own from hay),
+whole as (select video_id, sample_idx, list_concat(list_transform(list_filter(own, lambda t: t in {LIST(ev.SIGNATURE_STATUS)}), lambda t: 'status:' || t), list_transform(regexp_extract_all(hay, '{ev.DATE_VALUE}'), lambda t: 'date:' || t), list_transform(regexp_extract_all(hay, '\\bpage\\s*([0-9]+[a-z]?)\\b', 1), lambda t: 'page:' || t),
+{_REST.format('page', 4)}, {_REST.format('section', 7)}, list_transform(list_filter(own, lambda t: t in {LIST(ev.REFERENCES)}), lambda t: 'reference:' || t)) as found from own),
+line as (select video_id, sample_idx, trim(unnest(regexp_split_to_array(coalesce(ocr_text, ''), '\r\n|\r|\n'))) as x from v3), said as (select *, {_evidence_sql('x')} as toks, regexp_matches(x, '[:=]') as stated from line),
+side as (select *, case when stated then {_evidence_sql("regexp_extract(x, '^([^:=]*)', 1)")} else toks[:-2] end as label, case when stated then {_evidence_sql("regexp_extract(x, '^[^:=]*[:=](.*)$', 1)")} else toks[-1:] end as vals from said where len(toks) > 0),
+part as (select *, list_transform(list_filter(vals, {_VALUE}), {_VALUE_NAME})[1:4] as names from side),
+each as (select video_id, sample_idx, case when len(label) > 0 and len(names) > 0 then list_prepend({_short_sql('label', 'label[1:8]')}, list_transform(names, lambda v: 'label-value:' || substr(sha256(array_to_string(label[1:8], ' ')), 1, 10) || ':' || v)) when stated or (len(toks) >= 2 and len(names) > 0) then []
+when len(toks) <= 8 and len(list_filter(toks, {_VALUE})) = 0 and length(x) <= 80 and len(regexp_extract_all(x, '\\p{{L}}')) > 0 and (len(regexp_extract_all(x, '\\p{{Lu}}')) >= 0.6 * len(regexp_extract_all(x, '\\p{{L}}')) or len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= greatest(1, len(toks) - 1)) then [{_short_sql('heading', 'toks[1:8]')}] else [] end as found from part),
+every as (select video_id, sample_idx, unnest(found) as f from whole union select video_id, sample_idx, unnest(found) from each), named as (select video_id, sample_idx, string_agg(f, '|' order by f) as signature from every group by all)
+select video_id, sample_idx, coalesce(signature, '') as signature from v3 left join named using (video_id, sample_idx)""")
 def field_signatures(spark, d):
-    """Names of stated fields; their short hashes have no twin in SQL, tests hold literal cases."""
+    """Names of stated fields."""
     return views.texts(spark, d).select("video_id", "sample_idx", F.array_join(ev.field_signatures(F.col("ocr_text"), tokens.token_set(F.col("ocr_text"))), "|").alias("signature"))
 
 
@@ -612,13 +634,33 @@ def shortlist_union(spark, d):
 # Survival
 
 
-@query()
+def fold_sql(rows: str, alike: str, at: str, value: str) -> str:
+    """A fold over each recording of ``rows``: a row goes to the place ``at`` (of ``acc``, for ``x``; null for a new one) and takes it if its ``value`` is larger.
+
+    ``alike`` holds of two rows a before b; what a row is like to is found before the fold. A place's last holder is the
+    survivor of all that went there.
+    """
+    held = f"case when {value.format('x')} > {value.format('e')} then struct_pack(i := x.i, t := x.t, n := x.n, s := x.s, l := x.l, m := list_append(e.m, x.i)) else struct_pack(i := e.i, t := e.t, n := e.n, s := e.s, l := e.l, m := list_append(e.m, x.i)) end"
+    return f"""{rows}, pairs as (select b.video_id, b.sample_idx, list(a.sample_idx) as l from seen a join seen b on a.video_id = b.video_id and a.sample_idx < b.sample_idx and {alike} group by all),
+seq as (select video_id, list(struct_pack(i := sample_idx, t := ts, n := len(tokens), s := candidate_score, l := coalesce(l, []), m := [sample_idx]) order by ts, sample_idx) as xs from seen left join pairs using (video_id, sample_idx) group by video_id),
+folded as (select video_id, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, nw: list_transform([nw[1]], lambda x: list_transform([{at}], lambda k: case when k is null then list_append(acc, x) else list_transform(acc, lambda e, q: case when q = k then {held} else e end) end)[1])[1]) as alive from seq),
+places as (select video_id, unnest(alive) as p from folded)
+select video_id, unnest(p.m) as sample_idx, unnest(p.m) = p.i as kept, p.i as survivor_idx from places"""
+
+
+_SEEN = f"with {V4}, seen as (select *, {', '.join(f'{raw_sql(k, "tokens")} as m_{k}' for k in ev.KINDS)} from v4)"
+_TOKEN_JACCARD = "len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)))::double"
+_MAY_MERGE = f"greatest(len(a.tokens), len(b.tokens)) < 2 * least(len(a.tokens), len(b.tokens)) and not ({' or '.join(f'(len(a.m_{k}) > 0 and len(b.m_{k}) > 0 and a.m_{k} <> b.m_{k})' for k in ev.KINDS)}) and {_TOKEN_JACCARD}"
+_ALIKE_AT = "list_filter(range(1, len(acc) + 1), lambda q: list_contains(x.l, acc[q].i))"
+_BEFORE = "coalesce(list_max(list_filter(range(1, len(acc) + 1), lambda q: abs(x.t - acc[q].t) > 2)), 0)"
+
+
+@query(fold_sql(_SEEN, f"b.ts - a.ts <= 2 and {_MAY_MERGE} >= 0.9", f"list_max(list_filter({_ALIKE_AT}, lambda q: q > {_BEFORE.replace('q', 'r')}))", "row({0}.s, -{0}.t)"))
 def near_time_dedupe(spark, d):
-    """An order-dependent fold; tests hold literal cases."""
     return survive.near_time_dedupe(views.candidates(spark, d)).select("video_id", "sample_idx", "kept", "survivor_idx")
 
 
-@query()
+@query(fold_sql(_SEEN, f"{_MAY_MERGE} >= 0.85", f"list_min({_ALIKE_AT})", "row({0}.s, -{0}.t)"))
 def global_dedupe(spark, d):
     return survive.global_dedupe(views.candidates(spark, d)).select("video_id", "sample_idx", "kept", "survivor_idx")
 
@@ -634,7 +676,11 @@ def adjacent_dedupe(spark, d):
     return survive.adjacent_dedupe(views.candidates(spark, d)).where("kept").select("video_id", "sample_idx")
 
 
-@query()
+# the content is the scene and the number of tokens
+_CHANGED = f"({gain_sql('a.tokens', 'b.tokens')} or {gain_sql('b.tokens', 'a.tokens')} or len(list_filter(list_concat(list_filter(a.tokens, lambda x: not list_contains(b.tokens, x)), list_filter(b.tokens, lambda x: not list_contains(a.tokens, x))), lambda t: t in {LIST(ev.FORM_STATE)})) >= 2)"
+
+
+@query(fold_sql(_SEEN, f"a.scene_id = b.scene_id and abs(len(a.tokens) - len(b.tokens)) / 2 <= 2.5 and {_TOKEN_JACCARD} >= 0.9 and not {_CHANGED}", "case when list_contains(x.l, acc[-1].i) then len(acc) end", "row({0}.n, {0}.s, -{0}.t)"))
 def content_veto(spark, d):
     rows = views.candidates(spark, d).withColumn("content", F.array(F.col("scene_id") * 1.0, F.size("tokens") * 1.0))
     return survive.content_dedupe(rows).select("video_id", "sample_idx", "kept", "survivor_idx")
