@@ -698,7 +698,16 @@ def pair_verdicts(spark, d):
     return merge.pair_verdicts(_candidates_once(spark, d)).select("video_id", "i", "j", "reason", r6("jaccard").alias("jaccard"))
 
 
-@query()
+# a component holds at most one marker set of a kind that isn't empty; of the state, g is each sample's component and k_<kind> each component's markers
+_JOIN_OK = " and ".join(f"(acc.k_{k}[acc.g[x.a]] = '' or acc.k_{k}[acc.g[x.b]] = '' or acc.k_{k}[acc.g[x.a]] = acc.k_{k}[acc.g[x.b]])" for k in ev.KINDS)
+_JOINED = "struct_pack(g := list_transform(acc.g, lambda v: case when v = acc.g[x.b] then acc.g[x.a] else v end), " + ", ".join(f"k_{k} := list_transform(acc.k_{k}, lambda v, q: case when q = acc.g[x.a] and v = '' then acc.k_{k}[acc.g[x.b]] else v end)" for k in ev.KINDS) + ", a := acc.a, b := acc.b)"
+
+
+@query(f"""{_SEEN}, start as (select video_id, struct_pack(g := list(sample_idx + 1 order by sample_idx), {', '.join(f"k_{k} := list(array_to_string(m_{k}, '|') order by sample_idx)" for k in ev.KINDS)}, a := 0::bigint, b := 0::bigint) as s from seen group by all),
+edges as (select a.video_id, list(struct_pack(g := []::bigint[], {', '.join(f"k_{k} := []::varchar[]" for k in ev.KINDS)}, a := a.sample_idx + 1, b := b.sample_idx + 1) order by a.sample_idx, b.sample_idx) as es from seen a join seen b on a.video_id = b.video_id and a.sample_idx < b.sample_idx and b.ts - a.ts <= 30 and {_MAY_MERGE} >= 0.75 group by all),
+folded as (select video_id, list_reduce(list_prepend(s, coalesce(es, [])), lambda acc, x: case when acc.g[x.a] <> acc.g[x.b] and {_JOIN_OK} then {_JOINED} else acc end) as f from start left join edges using (video_id)),
+member as (select video_id, unnest(f.g) as g, generate_subscripts(f.g, 1) - 1 as sample_idx from folded), first as (select *, min(sample_idx) over (partition by video_id, g) as least from member)
+select video_id, sample_idx, (dense_rank() over (partition by video_id order by least) - 1)::int as component from first""")
 def union_find_merge(spark, d):
     rows = _candidates_once(spark, d)
     verdicts = merge.pair_verdicts(rows, seconds=30.0)
