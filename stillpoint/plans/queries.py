@@ -370,10 +370,14 @@ def _text_pairs(spark, d):
     return merge.pairs_within(rows)
 
 
+def _token_sets(spark, d):
+    """Null texts have no set."""
+    return views.texts(spark, d).withColumn("tokens", F.when(F.col("ocr_text").isNotNull(), tokens.token_set(F.col("ocr_text"))))
+
+
 @query(f"with {_PAIRS3} select video_id, i, j, round({_JAC}, 6) as jaccard from pr where {_JAC} >= 0.3")
 def jaccard_pairs(spark, d):
-    pairs = _text_pairs(spark, d).withColumn("jaccard", tokens.jaccard(F.col("a_tokens"), F.col("b_tokens")))
-    return pairs.where(F.col("jaccard") >= 0.3).select("video_id", "i", "j", r6("jaccard").alias("jaccard"))
+    return merge.jaccard_join(_token_sets(spark, d), 0.3).select("video_id", "i", "j", r6("jaccard").alias("jaccard"))
 
 
 @query(f"with {_PAIRS3} select video_id, count(*) as pairs, count_if(len(ta) > 0 and len(tb) > 0 and greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) and len(list_filter(case when len(ta) >= len(tb) then ta else tb end, lambda x: not list_contains(case when len(ta) >= len(tb) then tb else ta end, x))) > 0) as vetoed from pr group by all")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 import pytest
 
+from stillpoint.functions import policy
+from stillpoint.operators import merge
 from stillpoint.plans import queries as plans
 
 
@@ -12,3 +17,29 @@ def test_no_broadcast(spark, sf, name):
     """Tables that grow with the input are merged, however small Spark takes their files for."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.fixture(scope="module")
+def sets():
+    """Two recordings of token sets: crowds, near copies, empty ones, one without a set, and sizes far apart."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for video in ("v", "w"):
+        base = [sorted(rng.sample(words, k)) for k in (1, 2, 5, 20, 60, 200)]
+        rows = [base[n % 6] if n % 4 == 0 else sorted({*base[n % 6], *rng.sample(words, n % 9)} - {*rng.sample(words, 90)}) for n in range(150)]
+        out += [(video, n, r) for n, r in enumerate([*rows, [], [], None])]
+    return out
+
+
+def pairs_of(sets):
+    return [(v, i, j, a, b) for (v, i, a), (w, j, b) in combinations(sets, 2) if v == w]
+
+
+@pytest.mark.parametrize("budget", [20_000, 1_600_000])
+def test_all_alike_pairs(spark, sets, budget):
+    """Tiles of few samples and of all give the pairs that plain Python gives."""
+    df = spark.createDataFrame(sets, "video_id string, sample_idx int, tokens array<string>")
+    want = {(v, i, j): x for v, i, j, a, b in pairs_of(sets) if a is not None and b is not None and (x := policy.jaccard(frozenset(a), frozenset(b))) >= 0.3}
+    got = merge.jaccard_join(df, 0.3, budget=budget).collect()
+    assert len(got) == len(want) > 1000 and {(r.video_id, r.i, r.j): r.jaccard for r in got} == want
