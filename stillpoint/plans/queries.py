@@ -365,11 +365,6 @@ _PAIRS3 = f"{V3}, tk as (select video_id, sample_idx, {_TOK} as tokens from v3),
 _JAC = "case when len(ta) = 0 and len(tb) = 0 then 1.0::double when len(ta) = 0 or len(tb) = 0 then 0.0::double else len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::double end"
 
 
-def _text_pairs(spark, d):
-    rows = views.texts(spark, d).withColumn("tokens", tokens.token_set(F.col("ocr_text"))).withColumn("ts", F.col("sample_idx").cast("double"))
-    return merge.pairs_within(rows)
-
-
 def _token_sets(spark, d):
     """Null texts have no set."""
     return views.texts(spark, d).withColumn("tokens", F.when(F.col("ocr_text").isNotNull(), tokens.token_set(F.col("ocr_text"))))
@@ -382,7 +377,7 @@ def jaccard_pairs(spark, d):
 
 @query(f"with {_PAIRS3} select video_id, count(*) as pairs, count_if(len(ta) > 0 and len(tb) > 0 and greatest(len(ta), len(tb)) >= 2 * least(len(ta), len(tb)) and len(list_filter(case when len(ta) >= len(tb) then ta else tb end, lambda x: not list_contains(case when len(ta) >= len(tb) then tb else ta end, x))) > 0) as vetoed from pr group by all")
 def density_veto(spark, d):
-    return _text_pairs(spark, d).groupBy("video_id").agg(F.count("*").alias("pairs"), F.count_if(tokens.density_veto(F.col("a_tokens"), F.col("b_tokens"))).alias("vetoed"))
+    return merge.density_vetoes(_token_sets(spark, d))
 
 
 # Evidence on candidates

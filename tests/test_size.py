@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import pytest
@@ -36,6 +37,16 @@ def pairs_of(sets):
     return [(v, i, j, a, b) for (v, i, a), (w, j, b) in combinations(sets, 2) if v == w]
 
 
+def test_density_is_counted_without_pairs(spark, sf, sets):
+    df = spark.createDataFrame([*sets, ("alone", 0, ["a"])], "video_id string, sample_idx int, tokens array<string>")
+    want = defaultdict(lambda: [0, 0])
+    for v, _, _, a, b in pairs_of(sets):
+        want[v][0] += 1
+        want[v][1] += policy.density_veto(frozenset(a or ()), frozenset(b or ()))
+    assert {r.video_id: [r.pairs, r.vetoed] for r in merge.density_vetoes(df).collect()} == want
+    assert "Join" not in plans.QUERIES["density_veto"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("budget", [20_000, 1_600_000])
 def test_all_alike_pairs(spark, sets, budget):
     """Tiles of few samples and of all give the pairs that plain Python gives."""
