@@ -591,12 +591,12 @@ def promotion_preflight(spark, d):
 @query()
 def swap_promotion(spark, d):
     """Order-dependent; tests hold it against known cases."""
-    rescue, base = _split(spark, d)
-    cluster = lambda df: df.withColumn("clip_cluster", (F.col("scene_id") % 3).cast("bigint"))
+    rows, listed = views.candidates(spark, d), F.col("sample_idx") % 3 == 2
     # candidates show what every form shows, rescue rows all they have
-    base = cluster(base).withColumn("tokens", F.filter("tokens", lambda t: t.isin("form", "request", "owner", "unit", "date", "review", "case")))
-    rescue = cluster(rescue).withColumn("proxy_content_score", F.col("proxy_content_score") + 1)
-    return promote.swap_promotion(rescue, base, promote.additive_promotion(rescue, base, 2), 8)
+    shown = F.filter("tokens", lambda t: t.isin("form", "request", "owner", "unit", "date", "review", "case"))
+    rows = rows.withColumn("listed", listed).withColumn("clip_cluster", (F.col("scene_id") % 3).cast("bigint"))
+    rows = rows.withColumn("tokens", F.when(listed, F.col("tokens")).otherwise(shown)).withColumn("proxy_content_score", F.col("proxy_content_score") + F.when(listed, 1).otherwise(0))
+    return promote.swap_promotion_within(rows, 2, 8)
 
 
 # Lanes

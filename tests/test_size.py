@@ -28,6 +28,12 @@ def test_lists_are_made_after_the_shuffle(spark, sf):
     assert 0 < plan.index("array_sort") < plan.index("Window")
 
 
+def test_swaps_in_one_pass_over_the_view(spark, sf):
+    """Each table is read once, and a recording's rows meet once, for both promotions; no group goes to a worker of its own."""
+    plan = plans.QUERIES["swap_promotion"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and plan.count("hashpartitioning(video_id") == 1 and "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
 def test_near_pairs_by_wide_buckets(spark):
     """Pairs in time, at the edges of buckets, before 0 and far out, of known and unknown scenes: each once."""
     rng, reach = random.Random(5), promote.TOLERANCE
